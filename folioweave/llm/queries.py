@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from .bytebpe import op3_byte_bpe
 from .linededup import OP8_SQL, op8_line_dedup
 from .packing import op1_packing
+from .quality import op5_quality_rules
 from .sharding import op10_sharding
 from .tokenfile import op6_token_orc
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality_rules": op5_quality_rules,
     "op6_token_orc": op6_token_orc,
     "op8_line_dedup": op8_line_dedup,
     "op10_sharding": op10_sharding,

@@ -168,6 +168,24 @@ def split_pieces(texts: list[str], style: str):
     return joined, bounds, ends, np.append(np.searchsorted(bounds, begin), len(bounds))
 
 
+def numbered_pieces(parts: list[str], style: str, longest: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pieces of joined texts, the number of each piece in turn, pieces before each text, starts and ends.
+
+    Pieces of over `longest` characters are not hashed but each its own.
+    """
+    joined, starts, ends, before = split_pieces(parts, style)
+    if not len(starts):
+        return [], np.zeros(0, np.int64), before, starts, ends
+    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    h = segment_hash(prefix_hash(_mix(0x110000)[cp]), starts, ends)
+    long = np.flatnonzero(ends - starts > longest)
+    h[long] = finish(np.arange(len(long), dtype=np.uint64))
+    codes, uniq = pd.factorize(h)
+    first = np.empty(len(uniq), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    return [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], codes, before, starts, ends
+
+
 class PieceEncoder:
     """Byte-pair encoding of whole texts, with the merges run once per distinct piece.
 
@@ -220,17 +238,10 @@ class PieceEncoder:
         return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
     def _chunk(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        joined, starts, ends, before = split_pieces(parts, "words" if self.words else "spaced")
-        if not len(starts):
+        pieces, codes, before, _, _ = numbered_pieces(parts, "words" if self.words else "spaced", 200)
+        if not pieces:
             return np.zeros(0, np.uint32), np.zeros(len(parts) + 1, np.int64)
-        cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        h = segment_hash(prefix_hash(_mix(0x110000)[cp]), starts, ends)
-        long = np.flatnonzero(ends - starts > 200)
-        h[long] = finish(np.arange(len(long), dtype=np.uint64))
-        codes, uniq = pd.factorize(h)
-        first = np.empty(len(uniq), np.int64)
-        first[codes[::-1]] = np.arange(len(codes))[::-1]
-        ids = [self.piece(joined[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        ids = [self.piece(x) for x in pieces]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
         at = np.cumsum(size) - size
