@@ -10,10 +10,15 @@ the two new pairs. The rank map is a literal of hash buckets, each a short
 string of keys and values, since a lookup in Spark's own maps is linear. Documents' ids are the pieces' ids in
 order; decoding concatenates the binary pieces of the ids.
 
+Most pieces of a block are common ones. The most frequent HOT_WORDS pieces of about
+HOT_DOCS documents, chosen by a hash, are folded first and sent to all workers, a
+table of fixed bound; blocks then fold only what it lacks. The table is a cache:
+it changes how often a piece is folded, never a result.
+
 A piece of over MAX_FOLD bytes would make a quadratic fold; such pieces
 are encoded whole by the rank library and skip the fold.
 
-Scale: one pass, no shuffle; a block is bounded by `block_chars` plus one
+Scale: one pass without a shuffle after that cache; a block is bounded by `block_chars` plus one
 document; literals have the size of the vocabulary.
 
 Defined results: null text is empty and has no ids; each row counts as a
@@ -32,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, table, text_or_empty, texts_of, vocabulary
+from .common import map_batches, small, table, text_or_empty, texts_of, vocabulary
 from .textvec import chunked, encoder, numbered_pieces
 
 BUCKETS = 1 << 16
@@ -42,6 +47,9 @@ DONE = "\x01"
 OPEN, SHUT, LINE, PAD = "\u0100", "\u0101", "\u0102", "\ufffd"
 MAX_FOLD = 400
 BLOCK_CHARS = 12_000_000
+CHUNK = 2_000_000
+HOT_DOCS = 16_000
+HOT_WORDS = 300_000
 
 
 @lru_cache(None)
@@ -143,25 +151,66 @@ def char_ids(chars: Column) -> Column:
     return F.transform(F.filter(F.split(chars, ""), lambda c: c != ""), lambda c: F.ascii(c) - FIRST)
 
 
-def blocks_of(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Rows of blocks: distinct pieces, ids of over-long pieces, documents with the numbers of their pieces."""
+def hot_words(docs: DataFrame, path: str, sample: int = HOT_DOCS, most: int = HOT_WORDS) -> pa.Table:
+    """word and chars (a character a token) of at most `most` frequent pieces of about `sample` documents."""
+    near = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(max(docs.count(), 1))) < sample
+
+    def make():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            count: dict[str, int] = {}
+            for _, parts in chunked(texts_of(batch), CHUNK):
+                pieces, numbers, *_ = numbered_pieces(parts, "spaced", 60)
+                for piece, n in zip(pieces, np.bincount(numbers, minlength=len(pieces)).tolist(), strict=True):
+                    if len(piece) <= 60:
+                        count[piece] = count.get(piece, 0) + n
+            return pa.RecordBatch.from_arrays([pa.array(count, pa.string()), pa.array(count.values(), pa.int64())], ["w", "n"])
+
+        return run
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where(near)
+    counts = map_batches(rows, make, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n"), "w").limit(most).select("w").repartition(12)
+    # At most `most` rows of two short strings.
+    return with_tables(top, path).select("w", F.expr(fold_sql()).alias("chars")).toArrow()
+
+
+@lru_cache(2)
+def _hot(data: bytes) -> dict[str, str]:
+    rows = pa.ipc.open_stream(data).read_all()
+    return dict(zip(rows["w"].to_pylist(), rows["chars"].to_pylist(), strict=True))
+
+
+def blocks_of(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS, hot: pa.Table | None = None) -> DataFrame:
+    """Rows of blocks: distinct pieces to fold, tokens of pieces that need no fold, documents with the numbers of their pieces."""
+    sink = pa.BufferOutputStream()
+    if hot is not None:
+        with pa.ipc.new_stream(sink, hot.schema) as out:
+            out.write_table(hot)
+    sent = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
     item = pa.struct([("doc_id", pa.int64()), ("pieces", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, str]] = []
         chars = 0
+        ready = _hot(sent.value) if sent.value else {}
 
         def flush() -> pa.RecordBatch:
             nonlocal held, chars
             texts = [t for _, t in held]
             known: dict[str, int] = {}
+            done: dict[str, int] = {}
             long: list[str] = []
             parts_of: list[list[np.ndarray]] = [[] for _ in texts]
-            for numbers, parts in chunked(texts):
+            for numbers, parts in chunked(texts, CHUNK):
                 pieces, local, before, _, _ = numbered_pieces(parts, "spaced", MAX_FOLD // 4)
                 number = np.empty(len(pieces), np.int32)
                 for k, piece in enumerate(pieces):
-                    if len(piece) > MAX_FOLD // 4 and len(piece.encode()) > MAX_FOLD:
+                    if piece in ready:
+                        number[k] = done.get(piece, 0)
+                        if not number[k]:
+                            long.append(ready[piece])
+                            number[k] = done[piece] = -len(long)
+                    elif len(piece) > MAX_FOLD // 4 and len(piece.encode()) > MAX_FOLD:
                         long.append("".join(map(token_char, encoder(path, "ranks").piece(piece))))
                         number[k] = -len(long)
                     else:
@@ -200,7 +249,7 @@ def encode_documents(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS)
         ids = lambda k: F.when(k >= 0, F.get(table_, k)).otherwise(F.get(F.col("long"), -k - 1))
         return F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.array_join(F.transform(d["pieces"], ids), "").alias("chars")))
 
-    return with_tables(blocks_of(docs, path, block_chars), path).select(F.explode(_let(encoded, documents)).alias("d")).select("d.doc_id", char_ids(F.col("d.chars")).alias("ids"))
+    return with_tables(blocks_of(docs, path, block_chars, hot_words(docs, path)), path).select(F.explode(_let(encoded, documents)).alias("d")).select("d.doc_id", char_ids(F.col("d.chars")).alias("ids"))
 
 
 def _table(path: str, cell) -> Column:
