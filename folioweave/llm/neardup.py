@@ -5,16 +5,18 @@ class (128-bit fingerprint of the set) and only class representatives go on. A
 signature has CHUNKS chunks of CHUNK b-bit MinHash symbols. Two signatures at a
 distance of at most CHUNKS * (ERRORS + 1) - 1 symbols agree in some chunk but
 for ERRORS symbols (pigeonhole), so each chunk enters an index once for
-every choice of ERRORS symbols left out. With 7 chunks of 6 symbols and one
-error, two sets of similarity 0.85 fail to meet with probability 3e-5.
-
-Pairs of a bucket are not enumerated. First each member meets its bucket's
-least member; pairs of far signatures are dropped, the rest are confirmed on
-the full shingle sets, and links give components. Then only buckets
-whose members are not yet in one component remain, and in them only pairs of
-different components meet. A group of thousands of near copies is thus joined
-by as many pairs as it has members, and no link between different texts that
-the index can find is lost.
+every choice of ERRORS symbols left out. With 8 chunks of 7 symbols and one
+error, two sets of similarity 0.85 fail to meet with probability 4e-5.
+
+Pairs of a bucket are not enumerated. In each of ROUNDS rounds a bucket's leader
+meets its other members, pairs of far signatures are dropped, the rest are
+confirmed on the full shingle sets, links give components, and a leader that has
+met everyone leaves. Leader is the member whose buckets are largest together:
+in a group of copies that is the text that most others resemble. A bucket whose
+members share a component is done. In what then remains, all pairs of different
+components whose signatures are near meet. A group of thousands of near copies
+is thus joined by about as many pairs as it has members, and no link between
+different texts that the index can find is lost.
 
 Components are the least label reachable, by alternating neighbour minima
 and pointer jumps in joins; links, labels and texts stay distributed, and each
@@ -22,7 +24,7 @@ round is written to the shared folder, which cuts lineage.
 
 Scale: one scan for signatures; buckets are counted before they are joined, so
 keys that occur once (nearly all) never leave the count; joins with hot keys are
-plain equi-joins, which Spark splits at skew.
+plain equi-joins of stored tables, which Spark splits at skew.
 
 Defined results: null and empty texts and texts without words have an empty
 set, are linked with nothing and kept; equal rows are linked; a doc_id
@@ -42,11 +44,12 @@ from .common import map_batches, materialised, table, text_or_empty, texts_of
 from .textvec import finish, shingle_sets
 
 WIDTH = 5
-CHUNK = 6
+CHUNK = 7
 ERRORS = 1
+ROUNDS = 3
 SYMBOL_BITS = 16
 #: A pair of signatures that differ in more than this share of symbols is not confirmed.
-FAR = 0.5
+FAR = 0.35
 
 
 def signatures(hashes: np.ndarray, offsets: np.ndarray, symbols: int) -> np.ndarray:
@@ -96,13 +99,19 @@ def index_keys(sig: Column, chunks: int) -> Column:
     return F.array(*keys)
 
 
+def are_near(chunks: int, percent: int) -> Column:
+    """Whether signatures and sizes of a and b leave room for a link."""
+    differ = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x != y), lambda d: d))
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differ <= int(FAR * chunks * CHUNK))
+
+
+def side(reps: DataFrame, name: str) -> DataFrame:
+    return reps.select(F.col("rep").alias(name), F.col("sig").alias(f"sig_{name}"), F.col("n_shingles").alias(f"n_{name}"))
+
+
 def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, chunks: int) -> DataFrame:
     """The pairs (a, b) of representatives whose sets have 100 * intersection >= percent * union."""
-    side = lambda name: reps.select(F.col("rep").alias(name), F.col("sig").alias(f"sig_{name}"), F.col("n_shingles").alias(f"n_{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    differ = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x != y), lambda d: d))
-    near = (differ <= int(FAR * chunks * CHUNK)) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    close = both.where(near).select("a", "b")
+    close = pairs.join(side(reps, "a"), "a").join(side(reps, "b"), "b").where(are_near(chunks, percent)).select("a", "b")
     text = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}"))
     with_texts = close.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
 
@@ -122,14 +131,9 @@ def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int,
     return map_batches(with_texts, make, "a long, b long")
 
 
-def components(links: DataFrame, start: DataFrame | None = None, name: str = "labels") -> DataFrame:
-    """node, label: the least node reachable, of every node that has a link.
-
-    `start` holds labels (node, label) that are known to share a component.
-    """
+def components(links: DataFrame, name: str = "labels") -> DataFrame:
+    """node, label: the least node reachable, of every node that has a link (a, b)."""
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    if start is not None:
-        edges = edges.union(start.select(F.col("node").alias("u"), F.col("label").alias("v")))
     edges = materialised(edges.union(edges.select("v", "u")).where("u <> v").distinct(), f"{name}-edges")
     labels = materialised(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")), name)
     while True:
@@ -143,37 +147,56 @@ def components(links: DataFrame, start: DataFrame | None = None, name: str = "la
             return labels
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, chunks: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, chunks: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    rows = materialised(described(docs, chunks), "signatures")
-    known = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    every = materialised(described(docs, chunks), "signatures")
+    known = every.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     reps = materialised(classes, "classes")
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     keyed = reps.select("rep", F.explode(index_keys(F.col("sig"), chunks)).alias("key"))
-    least = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
-    least = materialised(least, "heads")
-    shared = materialised(keyed.join(least, "key").select("key", "rep", "head"), "buckets")
-    first = shared.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialised(confirmed(first, reps, texts, percent, chunks), "links")
-    labels = components(links, name="first")
-
-    labelled = shared.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    labelled = materialised(labelled, "labelled")
-    torn = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rest = materialised(labelled.join(torn, "key"), "torn")
-    one, two = rest.alias("p"), rest.alias("q")
-    met = F.expr("p.key = q.key AND p.label < q.label")
-    second = one.join(two, met).select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct()
-    fresh = second.join(first, ["a", "b"], "left_anti")
-    more = materialised(confirmed(fresh, reps, texts, percent, chunks), "more-links")
-    final = labels if more.isEmpty() else components(more, labels, "second")
+    sizes = materialised(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    shared = materialised(keyed.join(sizes, "key"), "buckets")
+    weight = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
+    rows = materialised(shared.join(weight, "rep").select("key", "rep", "weight", F.col("rep").alias("label")), "members")
+    links, labels = None, None
+    met = None
+    for turn in range(ROUNDS):
+        leader = F.max_by(F.struct("rep", "label"), F.struct("weight", -F.col("rep")))
+        heads = rows.groupBy("key").agg(leader.alias("head"), F.min("label").alias("x"), F.max("label").alias("y"))
+        heads = materialised(heads.where("x <> y").select("key", F.col("head.rep").alias("head"), F.col("head.label").alias("head_label")), f"heads-{turn}")
+        if heads.isEmpty():
+            rows = None
+            break
+        led = materialised(rows.join(heads, "key").where("rep <> head"), f"led-{turn}")
+        pairs = led.where("label <> head_label").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
+        if met is not None:
+            pairs = pairs.join(met, ["a", "b"], "left_anti")
+        pairs = materialised(pairs, f"pairs-{turn}")
+        met = pairs if met is None else met.unionByName(pairs)
+        found = materialised(confirmed(pairs, reps, texts, percent, chunks), f"links-{turn}")
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links, f"labels-{turn}")
+        rows = led.select("key", "rep", "weight").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "weight", F.coalesce("label", "rep").alias("label"))
+        rows = materialised(rows, f"members-{turn}")
+    if rows is not None:
+        torn = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        rest = materialised(rows.join(torn, "key").join(reps, "rep"), "torn")
+        one = rest.select("key", F.col("label").alias("label_a"), F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
+        two = rest.select(F.col("key").alias("key_b"), F.col("label").alias("label_b"), F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
+        near = (F.col("key") == F.col("key_b")) & (F.col("label_a") < F.col("label_b")) & are_near(chunks, percent)
+        last = one.join(two, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
+        found = materialised(confirmed(last, reps, texts, percent, chunks), "links-last")
+        if not found.isEmpty():
+            labels = components(links.unionByName(found), "labels-last")
+    final = labels if labels is not None else reps.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
 
     members = known.select("doc_id", "f1", "f2").distinct().join(reps.select("f1", "f2", "rep"), ["f1", "f2"])
     placed = members.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("component_id"))
     placed = placed.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
+    out = every.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
@@ -182,7 +205,7 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def keep_one(docs: DataFrame, percent: int = 80, chunks: int = 8) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80, chunks: int = 10) -> DataFrame:
     """The rows of docs whose document is its component's least, all columns."""
     gone = near_duplicates(docs, percent, chunks).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
