@@ -4,7 +4,7 @@ Learning: document frequencies of tokens (lower-cased words and their proper
 prefixes of 4 to 9 characters) are counted by class over a bounded sample of labelled
 documents (SAMPLE rows of the labels, the first by a hash of doc_id). Log-odds
 carry an informative Dirichlet prior proportional to a token's overall
-frequency; the TOKENS most significant tokens of z >= MIN_Z are kept, so the
+frequency, of PRIOR documents or half the toxic ones, if fewer; the TOKENS most significant tokens of z >= MIN_Z are kept, so the
 model has a fixed bound. A word scores its most toxic token's log-odds, any
 other word -DRIFT; a linear-time scan over the toxic words of a text finds all
 maximal segments. The best segment sum, less what chance gives a text of its length, is
@@ -169,8 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return run
 
     counts = map_batches(rows, count, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    share = F.lit(PRIOR) * (F.col("c") + F.col("t")) / F.lit(float(sum(sizes.values())))
-    odds = lambda n, of: F.log((F.col(n) + share + 0.01) / (F.lit(float(of) + PRIOR) - F.col(n) - share + 0.01))
+    prior = min(PRIOR, max(1.0, sizes[1] / 2))
+    share = F.lit(prior) * (F.col("c") + F.col("t")) / F.lit(float(sum(sizes.values())))
+    odds = lambda n, of: F.log((F.col(n) + share + 0.01) / (F.lit(float(of) + prior) - F.col(n) - share + 0.01))
     weight = odds("t", sizes[1]) - odds("c", sizes[0])
     error = F.sqrt(1 / (F.col("t") + share + 0.01) + 1 / (F.col("c") + share + 0.01))
     kept = counts.where(F.col("t") >= MIN_DOCS).select("token", weight.alias("weight"), (weight / error).alias("z")).where((F.col("z") >= MIN_Z) & (F.col("weight") >= MIN_WEIGHT))
