@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, work_folder
+from .common import materialised, table, work_folder
 
 MIN_REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 10_000
@@ -171,10 +171,11 @@ def assemble(records: DataFrame) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_folder(spark, "archives")
     write_archives(table(spark, sf_dir, "pages"), path)
-    rows = assemble(read_archives(spark, path))
+    # Assembly reads the records several times; archives are parsed once.
+    rows = assemble(materialised(read_archives(spark, path), "records"))
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:capture:([^:]*):', 1) AS BIGINT)")
     each = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return each.select(page("record_id").alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), page("response.refers_to").alias("refers_to"), "n_request", "n_metadata").drop("n_request", "n_metadata")
+    return each.select(page("record_id").alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), page("response.refers_to").alias("refers_to"), "n_request", "n_metadata")
 
 
 OP7_SQL = """

@@ -38,6 +38,12 @@ def test_round_trip(spark, tmp_path):
     assert sorted((r.page_id or -1, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to or -1) for r in got) == expected(PAGES)
 
 
+def test_the_query_assembles_transactions(spark, tmp_path):
+    got = op7_warc(spark, pages(spark, tmp_path))
+    assert "Join " in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.n_request, r.n_metadata) for r in got.collect()] == [(1, 1)] * len(PAGES)
+
+
 def test_payloads_and_nested_rows(spark, tmp_path):
     write_archives(spark.read.parquet(f"{pages(spark, tmp_path)}/pages.parquet"), f"{tmp_path}/warc")
     records = read_archives(spark, f"{tmp_path}/warc", with_payload=True)
