@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by cross-polytope hashing, multiprobe tables and exact reranking.
 
 Each table rotates a unit vector by three rounds of random signs and a fast
-Hadamard transform and takes the nearest signed axis; above COARSE vectors two
-rotations are combined. Every vector is indexed, a query probes the PROBES best
+Hadamard transform and takes the nearest signed axis, whatever the number of
+vectors (two rotations are combined only where `coarse` asks for it). Every vector is indexed, a query probes the PROBES best
 buckets of each of TABLES tables. Candidates meet queries as blocks: a bucket of
 more than BLOCK vectors is split by a hash of the id, its queries likewise, and
 each pair of blocks is one small matrix product, of which every query keeps its
@@ -16,7 +16,8 @@ again against all blocks.
 
 Scale: hashing is one pass; the index is shuffled once with TABLES copies of
 each class; counts of buckets (tables * buckets rows, a fixed bound)
-are broadcast. Measured recall: README.
+are broadcast. A query meets a fixed share of all vectors, so scoring grows with
+queries times vectors. Measured recall: README.
 
 Defined results: vectors null, empty, zero, of another length than most, or with
 null or non-finite components, and rows without vec_id, take no part; repeated
@@ -36,7 +37,6 @@ from .common import fingerprint, map_batches, materialised, table
 TABLES = 16
 PROBES = 6
 SMALL = 2000
-COARSE = 500_000
 BLOCK = 2048
 HITS = "qid long, cid long, ids array<long>, score double"
 
@@ -142,8 +142,18 @@ def best_classes(hits: DataFrame, keep: int) -> DataFrame:
     return once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= keep).drop("r")
 
 
-def nearest(rows: DataFrame, query_ids, k: int = 5, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK, small: int = SMALL, coarse: int = COARSE) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of each query; rows has vec_id and embedding, query_ids makes a condition of vec_id."""
+def depth_of(count: int, small: int = SMALL, coarse: int | None = None) -> int:
+    """Rotations a bucket is made of; 0: one bucket."""
+    if count <= small:
+        return 0
+    return 1 if coarse is None or count <= coarse else 2
+
+
+def nearest(rows: DataFrame, query_ids, k: int = 5, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK, small: int = SMALL, coarse: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of each query; rows has vec_id and embedding, query_ids makes a condition of vec_id.
+
+    coarse: number of vectors above which two rotations are combined, never by default; it needs many more probes.
+    """
     spark = rows.sparkSession
     most = k + 1
     usable = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
@@ -159,7 +169,7 @@ def nearest(rows: DataFrame, query_ids, k: int = 5, tables: int = TABLES, probes
     asked = classes.join(queries.select(F.col("qid").alias("cid")).distinct(), "cid", "left_semi")
 
     count = classes.count()
-    depth = 0 if count <= small else 1 if count <= coarse else 2
+    depth = depth_of(count, small, coarse)
     index = materialised(hashed(classes, tables, depth, 1), "index")
     probing = materialised(hashed(asked, tables, depth, probes), "probes")
     keyed = index.select("cid", "ids", "vec", F.explode(F.array_distinct("buckets")).alias("key"))

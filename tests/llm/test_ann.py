@@ -1,6 +1,6 @@
 import numpy as np
 
-from folioweave.llm.ann import nearest, op2_ann
+from folioweave.llm.ann import PROBES, SMALL, TABLES, depth_of, nearest, nearest_axes, op2_ann
 
 SCHEMA = "label string, vec_id long, embedding array<float>"
 
@@ -71,6 +71,21 @@ def test_recall_of_hashing(spark):
         assert hits / 300 >= 0.9
 
 
+def test_recall_with_the_buckets_of_a_large_table():
+    """The production hashing as it is chosen for 500,001 vectors, over Gaussian vectors, which have no near neighbours."""
+    x = np.random.default_rng(1).normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    depth = depth_of(500_001)
+    index, probes = nearest_axes(x, TABLES, depth, 1), nearest_axes(x[::50], TABLES, depth, PROBES)
+    hits = 0
+    for q, i in enumerate(range(0, 3000, 50)):
+        s = x @ x[i]
+        s[i] = -9
+        near = np.argsort(-s)[:5]
+        hits += int((index[near] == probes[q]).any(axis=(1, 2)).sum())
+    assert depth_of(SMALL + 1) == depth == depth_of(10**9) and hits / 300 >= 0.9
+
+
 def test_empty_and_lonely(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/a/embeddings.parquet")
     assert op2_ann(spark, f"{tmp_path}/a").count() == 0
