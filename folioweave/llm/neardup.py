@@ -9,8 +9,8 @@ every choice of ERRORS symbols left out. With 8 chunks of 7 symbols and one
 error, two sets of similarity 0.85 fail to meet with probability 4e-5.
 
 Pairs of a bucket are not enumerated. In each of ROUNDS rounds a bucket's leader
-meets its other members, pairs of far signatures are dropped, the rest are
-confirmed on the full shingle sets, links give components, and a leader that has
+meets its other members, pairs of far signatures are dropped (at the threshold a
+tenth of what the index misses, at most), the rest are confirmed on the full shingle sets, links give components, and a leader that has
 met everyone leaves. Leader is the member whose buckets are largest together:
 in a group of copies that is the text that most others resemble. A bucket whose
 members share a component is done. In what then remains, all pairs of different
@@ -35,6 +35,8 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,8 +50,8 @@ CHUNK = 7
 ERRORS = 1
 ROUNDS = 3
 SYMBOL_BITS = 16
-#: A pair of signatures that differ in more than this share of symbols is not confirmed.
-FAR = 0.35
+#: Pairs of far signatures aren't confirmed; of true links this may lose that share of what the index loses.
+FAR_LOSS = 0.1
 
 
 def signatures(hashes: np.ndarray, offsets: np.ndarray, symbols: int) -> np.ndarray:
@@ -99,10 +101,29 @@ def index_keys(sig: Column, chunks: int) -> Column:
     return F.array(*keys)
 
 
+def index_miss(chunks: int, percent: int) -> float:
+    """Probability that two sets of that similarity share no key."""
+    same = percent / 100
+    chunk = sum(math.comb(CHUNK, k) * (1 - same) ** k * same ** (CHUNK - k) for k in range(ERRORS + 1))
+    return (1 - chunk) ** chunks
+
+
+def far_loss(chunks: int, percent: int, most: int) -> float:
+    """Probability that signatures of two sets of that similarity differ in more than `most` symbols."""
+    n, same = chunks * CHUNK, percent / 100
+    return sum(math.comb(n, k) * (1 - same) ** k * same ** (n - k) for k in range(most + 1, n + 1))
+
+
+def most_differing(chunks: int, percent: int) -> int:
+    """The least number of differing symbols whose loss stays under FAR_LOSS of the index's own."""
+    allowed = FAR_LOSS * index_miss(chunks, percent)
+    return next(most for most in range(chunks * CHUNK + 1) if far_loss(chunks, percent, most) <= allowed)
+
+
 def are_near(chunks: int, percent: int) -> Column:
     """Whether signatures and sizes of a and b leave room for a link."""
     differ = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x != y), lambda d: d))
-    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differ <= int(FAR * chunks * CHUNK))
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differ <= most_differing(chunks, percent))
 
 
 def side(reps: DataFrame, name: str) -> DataFrame:

@@ -1,9 +1,10 @@
+import math
 import re
 from collections import defaultdict
 
 import numpy as np
 
-from folioweave.llm.neardup import components, near_duplicates, op9_minhash_dedup
+from folioweave.llm.neardup import CHUNK, are_near, components, index_miss, near_duplicates, op9_minhash_dedup
 
 from .helpers import ODD, docs, write_docs
 
@@ -77,6 +78,16 @@ def test_large_group_of_copies(spark):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_far_signatures_lose_less_than_the_index(spark):
+    """The share of pairs at the threshold that the filter drops, by exact binomial weights of each number of differing symbols."""
+    for chunks, percent in ((8, 85), (10, 80)):
+        n, same = chunks * CHUNK, percent / 100
+        rows = [([0] * n, [1] * d + [0] * (n - d), d) for d in range(n + 1)]
+        frame = spark.createDataFrame(rows, "sig_a array<int>, sig_b array<int>, d int").selectExpr("*", "100L AS n_a", "100L AS n_b")
+        lost = [r.d for r in frame.where(~are_near(chunks, percent)).collect()]
+        assert sum(math.comb(n, d) * (1 - same) ** d * same ** (n - d) for d in lost) <= 0.1 * index_miss(chunks, percent)
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     labels = defaultdict(set)
