@@ -227,6 +227,20 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 80, chunks: int = 10) -> DataFrame:
-    """The rows of docs whose document is its component's least, all columns."""
-    gone = near_duplicates(docs, percent, chunks).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of documents, all columns: the one of the least doc_id, null last.
+
+    A document is a doc_id with its text, null counting as an id and as an empty text. So each text of a repeated
+    doc_id is decided by itself, rows without doc_id take part, and of rows equal in both one stays. Documents go by a
+    64-bit hash of both; two of n share one with probability n * n / 2**65.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), text_or_empty()))
+    rows = materialised(keyed.groupBy("__key").agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.count(F.lit(1)).alias("n")), "keys")
+    again = rows.where("n > 1").select("__key")
+    if not again.isEmpty():
+        once = keyed.join(again, "__key", "left_semi").dropDuplicates(["__key"])
+        keyed = materialised(keyed.join(again, "__key", "left_anti").unionByName(once), "once")
+    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), percent, chunks)
+    placed = materialised(found.select(F.col("doc_id").alias("__key"), "component_id").join(rows, "__key"), "placed")
+    least = placed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__key")).alias("least"))
+    gone = placed.select("__key").join(least.select("least.__key"), "__key", "left_anti")
+    return keyed.join(gone, "__key", "left_anti").select(*docs.columns)

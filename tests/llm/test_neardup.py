@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from folioweave.llm.neardup import CHUNK, are_near, components, index_miss, near_duplicates, op9_minhash_dedup
+from folioweave.llm.neardup import CHUNK, are_near, components, index_miss, keep_one, near_duplicates, op9_minhash_dedup
 
 from .helpers import ODD, docs, write_docs
 
@@ -88,6 +88,19 @@ def test_far_signatures_lose_less_than_the_index(spark):
         assert sum(math.comb(n, d) * (1 - same) ** d * same ** (n - d) for d in lost) <= 0.1 * index_miss(chunks, percent)
 
 
+def test_keep_one_decides_by_document_not_by_id(spark):
+    text = lambda name, n=60: " ".join(f"{name}{k}" for k in range(n))
+    rows = [
+        (1, text("a")), (5, text("a") + " more"), (5, text("b")), (None, text("a") + " other"),
+        (7, text("c")), (7, text("c")), (None, text("d")), (None, text("d")), (9, text("e") + " x"), (8, text("e")),
+        (10, ""), (11, None),
+    ]
+    got = keep_one(docs(spark, rows))
+    assert got.columns == docs(spark, rows).columns
+    want = [(1, text("a")), (5, text("b")), (7, text("c")), (None, text("d")), (8, text("e")), (10, ""), (11, None)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     labels = defaultdict(set)
