@@ -298,8 +298,8 @@ def length_change(t):
 
 def pairs(t) -> DataFrame:
     """Chunks with a rewrite each, made by swapping, cutting or announcing."""
-    rows = t("conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("text").alias("source"), F.substring("text", F.lit(1), F.lit(2200)).alias("s"), (F.col("turn") % 4).alias("m"))
-    out = F.when(F.col("m") == 0, F.col("s")).when(F.col("m") == 1, F.upper("s")).when(F.col("m") == 2, F.concat(F.lit("Analiz: "), "s")).otherwise(F.replace("s", F.lit("e"), F.lit("")))
+    rows = t("conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("text").alias("source"), (F.col("turn") % 4).alias("m"))
+    out = F.when(F.col("m") == 0, F.col("source")).when(F.col("m") == 1, F.upper("source")).when(F.col("m") == 2, F.concat(F.lit("Analiz: "), "source")).otherwise(F.replace("source", F.lit("e"), F.lit("")))
     return rows.select("id", "source", out.alias("output"))
 
 

@@ -24,6 +24,15 @@ def test_against_sql(spark, name, tmp_path):
         assert con.sql(f"SELECT {columns} FROM {a} EXCEPT ALL SELECT {columns} FROM {b}").fetchall() == []
 
 
+def test_quality_gate_judges_rewrites_of_whole_texts(spark, tmp_path):
+    text = "Uzun bir konuşma. " * 300
+    spark.createDataFrame([(1, m, "user", text) for m in range(4)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.id: r.validation for r in catalogue.QUERIES["quality_gate"](spark, str(tmp_path)).collect()}
+    assert {v.original_characters for v in got.values()} == {len(text)}
+    assert [got[f"1/{m}"].cleaned_characters for m in range(4)] == [len(text), len(text), len(text) + len("Analiz: "), len(text.replace("e", ""))]
+    assert got["1/0"].valid and not any("length_ratio_out_of_range" in got[f"1/{m}"].reasons for m in range(3))
+
+
 def test_the_entry_stands_without_the_optional_subpackage(tmp_path):
     import subprocess
     import sys
