@@ -71,6 +71,19 @@ def test_recall_of_hashing(spark):
         assert hits / 300 >= 0.9
 
 
+def test_recall_of_the_query_above_the_exact_size(spark, tmp_path):
+    x = np.random.default_rng(2).normal(size=(SMALL + 500, 64)).astype(np.float32)
+    spark.createDataFrame([("x", i, v) for i, v in enumerate(x.tolist())], SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = op2_ann(spark, str(tmp_path)).collect()
+    unit = x.astype(float) / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for i in range(0, len(x), 50):
+        s = unit @ unit[i]
+        s[i] = -9
+        hits += len(set(np.argsort(-s)[:5].tolist()) & {r.vec_id for r in got if r.query_id == i})
+    assert 0.9 <= hits / 250
+
+
 def test_recall_with_the_buckets_of_a_large_table():
     """The production hashing as it is chosen for 500,001 vectors, over Gaussian vectors, which have no near neighbours."""
     x = np.random.default_rng(1).normal(size=(3000, 64))
