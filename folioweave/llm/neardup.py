@@ -13,10 +13,12 @@ meets its other members, pairs of far signatures are dropped (at the threshold a
 tenth of what the index misses, at most), the rest are confirmed on the full shingle sets, links give components, and a leader that has
 met everyone leaves. Leader is the member whose buckets are largest together:
 in a group of copies that is the text that most others resemble. A bucket whose
-members share a component is done. In what then remains, all pairs of different
-components whose signatures are near meet. A group of thousands of near copies
-is thus joined by about as many pairs as it has members, and no link between
-different texts that the index can find is lost.
+members share a component is done. What then remains, buckets whose members are
+alike but not linked, is compared block against block inside one Arrow stage:
+members bring their signatures and sets, pairs that are no link never become
+rows, and every block emits the links that join its components. A group of
+thousands of near copies is thus joined by about as many pairs as it has
+members, and no link between different texts that the index can find is lost.
 
 Components are the least label reachable, by alternating neighbour minima
 and pointer jumps in joins; links, labels and texts stay distributed, and each
@@ -36,8 +38,10 @@ extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +54,9 @@ CHUNK = 7
 ERRORS = 1
 ROUNDS = 3
 SYMBOL_BITS = 16
+#: A block of a torn bucket: members and shingles it holds, about.
+BLOCK_ROWS = 1024
+BLOCK_SHINGLES = 1_000_000
 #: Pairs of far signatures aren't confirmed; of true links this may lose that share of what the index loses.
 FAR_LOSS = 0.1
 
@@ -152,6 +159,122 @@ def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int,
     return map_batches(with_texts, make, "a long, b long")
 
 
+def linked_in_block(sig: np.ndarray, label: np.ndarray, sets: list[np.ndarray], first: np.ndarray | None, slot: int, percent: int, chunks: int) -> list[tuple[int, int]]:
+    """Links (row, row) that join different labels of one block, or of two where `first` marks the rows of the first.
+
+    A pair is looked at in the first bucket that its signatures share, `slot` telling which this is, and not again
+    once links found before have joined its labels.
+    """
+    most, (chunk, left_out) = most_differing(chunks, percent), divmod(slot, CHUNK)
+    codes, roots = np.unique(label, return_inverse=True)
+    parent = list(range(len(codes)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    ids, flat = pd.factorize(np.concatenate(sets))[0], np.concatenate([[0], np.cumsum(size)])
+    mine = np.zeros(int(ids.max()) + 1, bool)
+    found = []
+    left = np.arange(len(sig)) if first is None else np.flatnonzero(first)
+    right = left if first is None else np.flatnonzero(~first)
+    for a in left.tolist():
+        others = right[right > a] if first is None else right
+        others = others[(roots[others] != roots[a]) & (100 * np.minimum(size[others], size[a]) >= percent * np.maximum(size[others], size[a]))]
+        if not len(others):
+            continue
+        differ = (sig[others] != sig[a]).reshape(len(others), -1, CHUNK).sum(2)
+        here = (differ[:, chunk] <= ERRORS) & (differ.sum(1) <= most) & ~(differ[:, :chunk] <= ERRORS).any(1)
+        if left_out:
+            here &= differ[:, chunk] == ERRORS
+        others = others[here]
+        if not len(others):
+            continue
+        mine[ids[flat[a] : flat[a + 1]]] = True
+        for b in others.tolist():
+            if root(roots[a]) != root(roots[b]):
+                shared = int(np.count_nonzero(mine[ids[flat[b] : flat[b + 1]]]))
+                if 100 * shared >= percent * (size[a] + size[b] - shared):
+                    parent[root(roots[a])] = root(roots[b])
+                    found.append((a, b))
+        mine[ids[flat[a] : flat[a + 1]]] = False
+    return found
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of rows that are equal in `keys`, of batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys], 1)
+        cuts = np.flatnonzero((codes[1:] != codes[:-1]).any(1)) + 1
+        starts = [0, *cuts.tolist(), batch.num_rows]
+        for k in range(len(starts) - 1):
+            key = tuple(codes[starts[k]])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(starts[k], starts[k + 1] - starts[k]))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def block_links(rows: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, chunks: int) -> DataFrame:
+    """Links (a, b) that join the labels of the buckets' members (key, rep, label), found block against block.
+
+    Members carry signature and set, so a pair that is no link is never a row. A bucket of more than BLOCK_ROWS members
+    or BLOCK_SHINGLES shingles is split by a hash of the member, and every two of its blocks meet in one group of rows.
+    """
+    torn = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    rest = materialised(rows.join(torn, "key").select("key", "rep", "label"), "torn")
+    wanted = materialised(rest.select("rep").distinct(), "torn-members")
+
+    def make():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            hashes, at = shingle_sets(texts_of(batch), WIDTH)
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
+            return pa.RecordBatch.from_arrays([batch.column(0), lists], ["rep", "shingles"])
+
+        return run
+
+    sets = map_batches(wanted.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "text"), make, "rep long, shingles array<long>")
+    members = materialised(wanted.join(reps.select("rep", "sig", "n_shingles"), "rep").join(sets, "rep"), "torn-sets")
+    sized = rest.join(members.select("rep", "n_shingles"), "rep").groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    slots = F.array_position(index_keys(F.col("sig"), chunks), F.col("key")).cast("int") - 1
+    full = rest.join(members, "rep").join(materialised(sized, "torn-blocks"), "key").withColumns({"slot": slots, "block": F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")})
+    met = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["key", "i", "j"]
+    dealt = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "slot", "rep", "label", "sig", "shingles")
+    spread = dealt.repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for group in runs_of(batches, keys):
+            i, j = group["i"][0].as_py(), group["j"][0].as_py()
+            block = group["block"].to_numpy()
+            if group.num_rows < 2 or (i != j and (block == block[0]).all()):
+                continue
+            lists = group["shingles"].combine_chunks()
+            at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            sig = group["sig"].combine_chunks().flatten().to_numpy().astype(np.uint16).reshape(group.num_rows, -1)
+            rep = group["rep"].to_numpy()
+            pairs = linked_in_block(sig, group["label"].to_numpy(), [values[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], None if i == j else block == i, group["slot"][0].as_py(), percent, chunks)
+            a += [int(min(rep[x], rep[y])) for x, y in pairs]
+            b += [int(max(rep[x], rep[y])) for x, y in pairs]
+            if len(a) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return spread.mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame, name: str = "labels") -> DataFrame:
     """node, label: the least node reachable, of every node that has a link (a, b)."""
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -175,6 +298,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, chunks: int = 8) -> Data
     classes = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     reps = materialised(classes, "classes")
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    again = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if not again.isEmpty():
+        # However often a doc_id is repeated, each of its texts is looked at once.
+        again = materialised(again, "repeated")
+        once = materialised(texts.join(again, "doc_id", "left_semi").distinct(), "repeated-texts")
+        texts = texts.join(again, "doc_id", "left_anti").unionByName(once)
 
     keyed = reps.select("rep", F.explode(index_keys(F.col("sig"), chunks)).alias("key"))
     sizes = materialised(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
@@ -203,15 +332,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, chunks: int = 8) -> Data
         rows = led.select("key", "rep", "weight").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "weight", F.coalesce("label", "rep").alias("label"))
         rows = materialised(rows, f"members-{turn}")
     if rows is not None:
-        torn = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        rest = materialised(rows.join(torn, "key").join(reps, "rep"), "torn")
-        one = rest.select("key", F.col("label").alias("label_a"), F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
-        two = rest.select(F.col("key").alias("key_b"), F.col("label").alias("label_b"), F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
-        near = (F.col("key") == F.col("key_b")) & (F.col("label_a") < F.col("label_b")) & are_near(chunks, percent)
-        last = one.join(two, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
-        found = materialised(confirmed(last, reps, texts, percent, chunks), "links-last")
-        if not found.isEmpty():
-            labels = components(links.unionByName(found), "labels-last")
+        found = materialised(block_links(rows, reps, texts, percent, chunks), "links-last")
+        if links is None or not found.isEmpty():
+            labels = components(found if links is None else links.unionByName(found), "labels-last")
     final = labels if labels is not None else reps.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
 
     members = known.select("doc_id", "f1", "f2").distinct().join(reps.select("f1", "f2", "rep"), ["f1", "f2"])

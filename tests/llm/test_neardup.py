@@ -4,7 +4,8 @@ from collections import defaultdict
 
 import numpy as np
 
-from folioweave.llm.neardup import CHUNK, are_near, components, index_miss, keep_one, near_duplicates, op9_minhash_dedup
+from folioweave.llm import neardup
+from folioweave.llm.neardup import CHUNK, are_near, components, index_miss, keep_one, linked_in_block, near_duplicates, op9_minhash_dedup
 
 from .helpers import ODD, docs, write_docs
 
@@ -111,3 +112,40 @@ def test_components_of_a_path(spark):
 
 def test_empty_table(spark, tmp_path):
     assert op9_minhash_dedup(spark, write_docs(spark, tmp_path, [])).count() == 0
+
+
+def alike_but_apart(n=90):
+    """Texts of one group whose similarities spread from 0.5 to 1, few of them linked, and a chain among them."""
+    rng = np.random.default_rng(11)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for copy in range(n):
+        text = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 9)), replace=False):
+            text[at] = f"e{copy}x{at}"
+        rows.append((copy + 1, " ".join(text)))
+    return rows
+
+
+def test_blocks_find_the_links_of_a_torn_group(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 7)
+    rows = alike_but_apart() + near_copies()
+    got = near_duplicates(docs(spark, rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute(rows, 85)
+
+
+def test_pairs_that_are_no_link_never_become_rows(spark, tmp_path):
+    """Rows that the last comparison makes are links, at most one less than a block has members."""
+    sig = np.repeat(np.arange(56, dtype=np.uint16)[None], 4, 0)
+    sets = [np.arange(100), np.arange(5, 105), np.arange(50, 150), np.arange(100)]
+    assert linked_in_block(sig, np.arange(4), sets, None, 0, 85, 8) == [(0, 1), (0, 3)]
+    assert linked_in_block(sig, np.arange(4), sets, None, 7, 85, 8) == []  # an earlier bucket has these pairs
+    assert linked_in_block(sig, np.array([5, 5, 6, 5]), sets, None, 0, 85, 8) == []
+    assert linked_in_block(sig, np.arange(4), sets, np.array([True, False, False, True]), 0, 85, 8) == [(0, 1), (3, 1)]
+
+
+def test_a_doc_id_of_many_rows(spark, tmp_path):
+    rows = [(7, "one two three four five six seven"), (7, "other words of the same id here")] * 40 + [(9, "one two three four five six seven")]
+    got = near_duplicates(docs(spark, rows)).collect()
+    assert len(got) == 81 and {r["component_id"] for r in got} == {7}
