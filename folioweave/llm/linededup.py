@@ -12,7 +12,8 @@ Which lines go depends on the text alone, so documents are matched by the
 need no care, and identical rows share one entry. Counted is each row as a document.
 
 Defined results: null and empty texts are one empty line, which stays; a text
-whose lines all go is empty; extra columns are kept by drop_common_lines().
+whose lines all go is empty; drop_common_lines() keeps extra columns, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -33,29 +34,45 @@ def line_key(line: Column) -> Column:
     return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
-def drop_common_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1) -> DataFrame:
-    """docs with new text, and the columns line_total, line_dropped (long)."""
+def free_name(name: str, taken: list[str]) -> str:
+    """name, or with underscores after it until no other column is called so."""
+    while name.lower() in {x.lower() for x in taken}:
+        name += "_"
+    return name
+
+
+def drop_common_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
+    """docs with new text, and the columns line_total, line_dropped (long; underscores are added where docs has such a column).
+
+    keep_first: the document of the least doc_id (null last) keeps its common lines, so that no line is lost to the corpus.
+    """
     text = text_or_empty()
-    lines = F.split(text, "\n", -1)
+    lines = lambda t: F.split(t, "\n", -1)
     ident = [F.xxhash64("doc_id", text).alias("d1"), F.xxhash64(F.lit("second"), "doc_id", text).alias("d2")]
     long_enough = lambda k: F.char_length(k) >= min_chars
     hashes = lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit("second"), k).alias("h2"))
-    keys = F.transform(lines, lambda x: line_key(x))
+    keys = F.transform(lines(text), lambda x: line_key(x))
 
-    once = docs.select(F.explode(F.array_distinct(F.filter(keys, long_enough))).alias("k")).select(hashes(F.col("k")).alias("h"))
-    common = once.groupBy("h.h1", "h.h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("h1", "h2")
+    holder = [F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *ident).alias("holder")] if keep_first else []
+    once = docs.select(*holder, F.explode(F.array_distinct(F.filter(keys, long_enough))).alias("k")).select(*["holder"] * keep_first, hashes(F.col("k")).alias("h"))
+    first = [F.min("holder").alias("first")] if keep_first else []
+    common = once.groupBy("h.h1", "h.h2").agg(F.count(F.lit(1)).alias("n"), *first).where(F.col("n") >= min_documents)
+    common = common.select("h1", "h2", *[F.col(f"first.{x}").alias(f"first_{x}") for x in ("d1", "d2")] * keep_first)
 
     placed = docs.select(*ident, F.posexplode(keys).alias("pos", "k")).where(long_enough(F.col("k")))
-    placed = placed.select("d1", "d2", "pos", hashes(F.col("k")).alias("h")).select("d1", "d2", "pos", "h.h1", "h.h2")
-    gone = placed.join(common, ["h1", "h2"]).groupBy("d1", "d2").agg(F.collect_set("pos").alias("gone"))
-
-    joined = docs.withColumns({"__d1": ident[0], "__d2": ident[1]}).join(gone, (F.col("__d1") == F.col("d1")) & (F.col("__d2") == F.col("d2")), "left")
-    count = F.size(lines)
-    everything = F.sequence(F.lit(0), count - 1)
-    stays = F.array_except(everything, F.col("gone"))
-    rest = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(stays, lambda i: F.get(lines, i)), "\n"))
-    out = joined.withColumns({"line_total": count.cast("long"), "line_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long"), "__text": rest})
-    return out.withColumn("text", F.col("__text")).drop("__d1", "__d2", "d1", "d2", "gone", "__text")
+    placed = placed.select("d1", "d2", "pos", hashes(F.col("k")).alias("h")).select("d1", "d2", "pos", "h.h1", "h.h2").join(common, ["h1", "h2"])
+    if keep_first:
+        placed = placed.where("d1 <> first_d1 OR d2 <> first_d2")
+    gone = placed.groupBy("d1", "d2").agg(F.collect_set("pos").alias("gone"))
+
+    # The source row travels as one struct, so that no name of its columns can clash with these.
+    joined = docs.select(F.struct("*").alias("row"), text.alias("t"), *ident).join(gone, ["d1", "d2"], "left")
+    # A value that lambdas share is the element of an array of one, else each call would split the text again.
+    stays = F.array_except(F.sequence(F.lit(0), F.size(lines(F.col("t"))) - 1), F.col("gone"))
+    left = F.get(F.transform(F.array(lines(F.col("t"))), lambda x: F.array_join(F.transform(stays, lambda i: F.get(x, i)), "\n")), F.lit(0))
+    rest = F.when(F.col("gone").isNull(), F.col("t")).otherwise(left)
+    counts = [F.size(lines(F.col("t"))).cast("long").alias(free_name("line_total", docs.columns)), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(free_name("line_dropped", docs.columns))]
+    return joined.select(*[rest.alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in docs.columns], *counts)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
