@@ -2,7 +2,8 @@
 
 1. quality: documents that the base rules or the boosted trees reject go.
 2. toxicity: documents that score one half or more go.
-3. lines: lines that at least 10 documents share go from every text; no document goes.
+3. lines: lines that at least 10 documents share go from every text but the first that holds them, so none is lost;
+   a document of which nothing is left repeats others and goes.
 4. near_duplicates: of each group of documents linked at similarity 0.8 one stays.
 5. packing: what is left is tokenised and packed into sequences.
 
@@ -30,8 +31,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = linededup.drop_common_lines(docs)
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    kept = linededup.drop_common_lines(docs, keep_first=True)
+    left = kept.where((F.col(kept.columns[-1]) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
