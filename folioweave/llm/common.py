@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,10 +59,19 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
-def small(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Slices of bounded row count, so that Python objects of few texts live at once."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def small(batch: pa.RecordBatch, rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most `rows` rows and of about `size` bytes of text, so that Python objects of few texts live at once."""
+    weight = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            weight += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    total = np.cumsum(weight)
+    at = 0
+    while at < batch.num_rows:
+        before = total[at - 1] if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(total, before + size, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -103,7 +103,7 @@ def pack_documents(docs: DataFrame, path: str, kind: str = "json_spaced", end_id
             return pa.RecordBatch.from_arrays(columns, names)
 
         for whole in batches:
-            for batch in small(whole, 500):
+            for batch in small(whole):
                 for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts_of(batch)), strict=True):
                     held.append((doc_id, np.append(ids, np.uint32(end_id))))
                     tokens += len(ids) + 1

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, text_or_empty, texts_of
+from .common import map_batches, small, table, text_or_empty, texts_of
 from .textvec import Words, _whole_chunks, finish, segment_hash, window_docs, windows
 
 SAMPLE = 20_000
@@ -232,8 +232,7 @@ def keep_good(docs: DataFrame, model: Trees | None) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for batch in small(whole):
                 base, more = statistics(texts_of(batch))
                 failed = (base[:, 0] < 20) | (100 * base[:, 4] > 30 * base[:, 0])
                 score = model.score(more) if model else np.ones(len(base))

@@ -21,7 +21,9 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 
-CHUNK_CHARS = 3_000_000
+#: Characters of a chunk that is cut into pieces, and of one whose words are hashed; a character takes some 60 bytes meanwhile.
+CHUNK_CHARS = 1_000_000
+HASH_CHARS = 500_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 SEP, LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3, 4
@@ -194,7 +196,7 @@ class PieceEncoder:
     Ids are the file's own; results equal the libraries'.
     """
 
-    CACHE = 400_000
+    CACHE = 150_000
 
     def __init__(self, path: str, kind: str):
         import tiktoken
@@ -351,7 +353,7 @@ def shingle_sets(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)).astype(np.uint64), np.concatenate([[0], np.cumsum(size)])
 
 
-def _whole_chunks(texts: list[str], size: int = CHUNK_CHARS):
+def _whole_chunks(texts: list[str], size: int = HASH_CHARS):
     """Runs of whole texts of about `size` characters: (number of the first, texts)."""
     at, held = 0, 0
     for i, text in enumerate(texts):

@@ -48,7 +48,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, kind: str = "
         encode = encoder(vocabulary_path, kind).encode
         part, start = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in small(whole, 500):
+            for batch in small(whole):
                 ids = [np.append(x, np.uint32(end_id)) for x in encode(texts_of(batch))]
                 size = np.fromiter(map(len, ids), np.int64, len(ids))
                 at = np.concatenate([[0], np.cumsum(size)])

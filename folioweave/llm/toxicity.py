@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialised, table, text_or_empty, texts_of
+from .common import map_batches, materialised, small, table, text_or_empty, texts_of
 from .textvec import chunked, numbered_pieces
 
 SAMPLE = 16_000
@@ -237,8 +237,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for batch in small(whole):
                 yield batch.filter(pa.array([model.probability(model.statistic(n, s)) < 0.5 for n, s in model.segments(texts_of(batch))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
