@@ -1,25 +1,27 @@
 """Byte-level BPE: Spark higher-order functions fold the merges over distinct words.
 
 Bounded blocks of documents are pre-tokenised in the scan's tasks into distinct
-pieces and positions (vectorised, no shuffle). In the JVM each distinct piece of
-a block becomes its bytes, and aggregate() folds ranked merges over them. A
-token is one character, FIRST plus its rank, so the state is a short string:
-the tokens, then what merging each with its neighbour would give. The lowest
-rank is the least character; each step merges its leftmost place and looks up
-the two new pairs. The rank map is a literal of hash buckets, each a short
-string of keys and values, since a lookup in Spark's own maps is linear. Documents' ids are the pieces' ids in
-order; decoding concatenates the binary pieces of the ids.
+pieces and positions (vectorised, no shuffle). A piece that is a token itself is
+its id. Every other distinct piece of a block reaches the JVM as the array of its
+bytes' tokens, and aggregate() folds ranked merges over it: the state is the
+tokens and, for each pair of neighbours, the token that merging them gives. Ids
+are ranks, so the least of these is the merge to make, at its leftmost place; only
+the two new pairs are looked up. The rank map is one constant, an array of hash
+buckets, since a lookup in Spark's own maps is linear. A
+documents' ids are its pieces' ids in order; decoding concatenates the binary
+pieces of the ids.
 
 Most pieces of a block are common ones. The most frequent HOT_WORDS pieces of about
 HOT_DOCS documents, chosen by a hash, are folded first and sent to all workers, a
 table of fixed bound; blocks then fold only what it lacks. The table is a cache:
 it changes how often a piece is folded, never a result.
 
-A piece of over MAX_FOLD bytes would make a quadratic fold; such pieces
-are encoded whole by the rank library and skip the fold.
+The fold is quadratic in a piece's length, so a piece of over MAX_FOLD bytes has
+the same merges made in the same order with a heap, in linearithmic time.
 
 Scale: one pass without a shuffle after that cache; a block is bounded by `block_chars` plus one
-document; literals have the size of the vocabulary.
+document; the rank map has the size of the vocabulary and stands in the plan as a
+scalar subquery, not as text.
 
 Defined results: null text is empty and has no ids; each row counts as a
 document; an empty table gives no rows; extra columns are ignored.
@@ -28,102 +30,69 @@ document; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import hashlib
+import heapq
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, small, table, text_or_empty, texts_of, vocabulary
-from .textvec import chunked, encoder, numbered_pieces
+from .textvec import chunked, numbered_pieces
 
-BUCKETS = 1 << 16
-FIRST = 0x800
-DONE = "\x01"
-# Above all bytes' characters; PAD is above all tokens.
-OPEN, SHUT, LINE, PAD = "\u0100", "\u0101", "\u0102", "\ufffd"
+BUCKETS = 65_521
+MIX = 40_503
+#: Above all ids: two tokens that do not merge.
+NONE = 1 << 30
 MAX_FOLD = 400
-BLOCK_CHARS = 12_000_000
-CHUNK = 2_000_000
+BLOCK_CHARS = 8_000_000
+CHUNK = 500_000
 HOT_DOCS = 16_000
 HOT_WORDS = 300_000
+#: Bytes of a hot word, at most.
+HOT_BYTES = 24
+OUT_TOKENS = 250_000
 
 
 @lru_cache(None)
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    if max(ranks.values()) + FIRST >= 0xD800:
-        raise ValueError("a vocabulary of more than 53,248 ids has no room below the surrogates")
+    if max(ranks.values()) >= 1 << 16:
+        raise ValueError("a vocabulary of more than 65,536 ids does not fit the keys of the rank map")
     return ranks
 
 
-def token_char(rank: int) -> str:
-    return chr(FIRST + rank)
-
-
-def _buckets(cells: dict[str, str]) -> str:
-    """Lines of hash buckets; a bucket is a run of value, a filler, OPEN key SHUT and ends with PAD, which a failed search finds."""
-    out: list[list[str]] = [[] for _ in range(BUCKETS)]
-    for key, value in cells.items():
-        key_ = OPEN + key + SHUT
-        out[xxhash.xxh64_intdigest(key_.encode(), seed=42) % BUCKETS].append(value + PAD + key_)
-    return LINE.join("".join(x) + PAD * 2 for x in out)
-
-
 @lru_cache(None)
-def merge_tables(path: str) -> tuple[str, str, str]:
-    """Bucketed maps as text, pair of tokens to token and whole piece to token; the tokens of bytes 0 to 255."""
+def single_ids(path: str) -> np.ndarray:
+    """The tokens of bytes 0 to 255."""
     ranks = read_ranks(path)
-    pairs = {
-        token_char(ranks[t[:i]]) + token_char(ranks[t[i:]]): token_char(rank)
-        for t, rank in ranks.items()
-        for i in range(1, len(t))
-        if t[:i] in ranks and t[i:] in ranks
-    }
-    whole = {t.decode("latin-1"): token_char(rank) for t, rank in ranks.items() if len(t) > 1}
-    return _buckets(pairs), _buckets(whole), "".join(token_char(ranks[bytes([b])]) for b in range(256))
-
-
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return np.array([ranks[bytes([b])] for b in range(256)], np.int64)
 
 
-def _find(cells: str, key: str) -> str:
-    """SQL for a key's value in the bucket literal `cells`, or PAD."""
-    return f"let1(get({cells}, cast(pmod(xxhash64({key}), {BUCKETS}) AS INT)), c -> substring(c, instr(c, {key}) - 2, 1))"
-
-
-def fold_sql(pairs: str = "__pairs", whole: str = "__whole", single: str = "__single") -> str:
-    """SQL from a word `w` to a string of a character a token.
-
-    SQL text, since lists of arguments that Spark's parser makes are strict, and
-    those of Column functions lazy, which doubles the time of each step.
-    """
-    key = lambda x: f"concat('{OPEN}', {x}, '{SHUT}')"
-    merge = lambda x: f"let1({key(x)}, k -> {_find(pairs, 'k')})"
-    entire = f"let1({key('raw')}, k -> {_find(whole, 'k')})"
-    # s: n tokens, then the n - 1 characters that merging each with the next would give.
-    left = f"if(i > 1, {merge('concat(substring(s, i - 1, 1), m)')}, '')"
-    right = f"if(i + 1 < n, {merge('concat(m, substring(s, i + 2, 1))')}, '')"
-    merged = f"concat(substring(s, 1, i - 1), m, substring(s, i + 2, n - i - 1), substring(s, n + 1, i - 2), {left}, {right}, substring(s, n + i + 2, n))"
-    apply = f"if(m = '{PAD}', concat('{DONE}', substring(s, 1, n)), let1(instr(substring(s, n + 1, n), m), i -> {merged}))"
-    step = f"if(startswith(s, '{DONE}'), s, let1(shiftright(char_length(s) + 1, 1), n -> let1(array_min(split(substring(s, n + 1, n), '')), m -> {apply})))"
-    pairs_of = f"array_join(transform(sequence(1, char_length(raw) - 1), j -> {merge('substring(b, j, 2)')}), '')"
-    bytes_ = f"let1(translate(raw, {LATIN}, {single}), b -> ltrim('{DONE}', aggregate(sequence(1, char_length(raw)), concat(b, {pairs_of}), (s, z) -> {step})))"
-    body = f"if(char_length(raw) < 2, translate(raw, {LATIN}, {single}), let1({entire}, v -> if(v <> '{PAD}', v, {bytes_})))"
-    return _expand(f"let1(decode(encode(w, 'UTF-8'), 'ISO-8859-1'), raw -> {body})")
+def merge_buckets(path: str) -> list[list[int]]:
+    """The rank map: buckets of numbers that hold two tokens and, in their last 16 bits, what these merge into."""
+    ranks = read_ranks(path)
+    out: list[list[int]] = [[] for _ in range(BUCKETS)]
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            a, b = ranks.get(token[:i]), ranks.get(token[i:])
+            if a is not None and b is not None:
+                out[(a * MIX + b) % BUCKETS].append(((a << 16) + b << 16) + rank)
+    return out
 
 
-LATIN = "__latin"
+def rank_map(spark: SparkSession, path: str) -> Column:
+    """The rank map as a constant of the query (array<array<bigint>>)."""
+    return spark.createDataFrame(pa.table({"pairs": pa.array([merge_buckets(path)], pa.list_(pa.list_(pa.int64())))})).scalar()
 
 
 def _expand(sql: str) -> str:
-    """let1(value, x -> body) as get(transform(array(value), x -> body), 0)."""
+    """let1(value, x -> body), that is body with value computed once, as get(transform(array(value), x -> body), 0)."""
     while (at := sql.rfind("let1(")) >= 0:
         depth, arrow, end = 0, -1, at + 4
         for k in range(at + 4, len(sql)):
@@ -140,81 +109,153 @@ def _expand(sql: str) -> str:
     return sql
 
 
-def with_tables(df: DataFrame, path: str) -> DataFrame:
-    """df with the literals that fold_sql() names; the optimiser puts them in place of the columns."""
-    pairs, whole, single = merge_tables(path)
-    return df.withColumns({"__pairs": F.split(F.lit(pairs), LINE), "__whole": F.split(F.lit(whole), LINE), "__single": F.lit(single), LATIN: F.lit("".join(map(chr, range(256))))})
-
+def fold_sql(pairs: str = "__pairs") -> str:
+    """SQL from the tokens `w` of a piece's bytes (array<bigint>, two at least) to its ids.
 
-def char_ids(chars: Column) -> Column:
-    """Token ids (array<int>) of a string of token characters."""
-    return F.transform(F.filter(F.split(chars, ""), lambda c: c != ""), lambda c: F.ascii(c) - FIRST)
+    SQL text, since lists of arguments that Spark's parser makes are strict, and
+    those of Column functions lazy, which doubles the time of each step.
+    """
+    none = f"CAST({NONE} AS BIGINT)"
+    merge = lambda a, b: f"coalesce(get(filter(get({pairs}, CAST(({a} * {MIX} + {b}) % {BUCKETS} AS INT)), e -> shiftright(e, 16) = {a} * 65536 + {b}), 0) % 65536, {none})"
+    # i: the place of the merge, from 1; x at k, from 0. What a lambda's body names is cheap, so only i is worth a let1().
+    tokens = "filter(transform(s.t, (x, k) -> if(k = i - 1, get(s.r, i - 1), x)), (x, k) -> k <> i)"
+    left, right = merge("get(s.t, i - 2)", "get(s.r, i - 1)"), merge("get(s.r, i - 1)", "get(s.t, i + 1)")
+    merges = f"filter(transform(s.r, (x, k) -> CASE WHEN k = i - 2 THEN {left} WHEN k = i THEN {right} ELSE x END), (x, k) -> k <> i - 1)"
+    step = f"if(array_min(s.r) < {none}, let1(CAST(array_position(s.r, array_min(s.r)) AS INT), i -> named_struct('t', {tokens}, 'r', {merges})), s)"
+    start = f"named_struct('t', w, 'r', transform(sequence(0, size(w) - 2), j -> {merge('get(w, j)', 'get(w, j + 1)')}))"
+    return _expand(f"aggregate(sequence(2, size(w)), {start}, (s, z) -> {step}, s -> s.t)")
+
+
+def heap_fold(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a piece, by the same merges as the fold: the least rank first, at its leftmost place."""
+    n = len(piece)
+    end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(i: int) -> None:
+        if i >= 0 and after[i] < n:
+            rank = ranks.get(piece[i : end[after[i]]])
+            if rank is not None:
+                heapq.heappush(heap, (rank, i, end[after[i]]))
+
+    for i in range(n - 1):
+        offer(i)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = after[i]
+        if not end[i] or j >= n or end[j] != stop:
+            continue  # one of the two has been merged meanwhile
+        end[i], end[j], after[i] = stop, 0, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        offer(before[i])
+        offer(i)
+    return [ranks[piece[i : end[i]]] for i in range(n) if end[i]]
+
+
+def byte_tokens(words: list[bytes], path: str) -> pa.ListArray:
+    """Of each word the tokens of its bytes."""
+    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(single_ids(path)[np.frombuffer(b"".join(words), np.uint8)]))
+
+
+def can_be_hot(coded: bytes) -> bool:
+    """Whether a piece fits an array of fixed width, which drops bytes 0 at its end."""
+    return len(coded) <= HOT_BYTES and b"\0" not in coded
 
 
 def hot_words(docs: DataFrame, path: str, sample: int = HOT_DOCS, most: int = HOT_WORDS) -> pa.Table:
-    """word and chars (a character a token) of at most `most` frequent pieces of about `sample` documents."""
+    """w and ids of at most `most` frequent pieces of about `sample` documents that are no tokens themselves."""
     near = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(max(docs.count(), 1))) < sample
 
-    def make():
+    def count():
+        ranks = read_ranks(path)
+
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            count: dict[str, int] = {}
+            found: dict[str, int] = {}
             for _, parts in chunked(texts_of(batch), CHUNK):
-                pieces, numbers, *_ = numbered_pieces(parts, "spaced", 60)
+                pieces, numbers, *_ = numbered_pieces(parts, "spaced", HOT_BYTES)
                 for piece, n in zip(pieces, np.bincount(numbers, minlength=len(pieces)).tolist(), strict=True):
-                    if len(piece) <= 60:
-                        count[piece] = count.get(piece, 0) + n
-            return pa.RecordBatch.from_arrays([pa.array(count, pa.string()), pa.array(count.values(), pa.int64())], ["w", "n"])
+                    if len(piece) <= HOT_BYTES and can_be_hot(coded := piece.encode()) and coded not in ranks:
+                        found[piece] = found.get(piece, 0) + n
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(found.values(), pa.int64())], ["w", "n"])
 
         return run
 
+    def tokens():
+        return lambda batch: pa.RecordBatch.from_arrays([batch.column(0), byte_tokens([x.encode() for x in batch.column(0).to_pylist()], path)], ["word", "w"])
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where(near)
-    counts = map_batches(rows, make, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
-    top = counts.orderBy(F.desc("n"), "w").limit(most).select("w").repartition(12)
-    # At most `most` rows of two short strings.
-    return with_tables(top, path).select("w", F.expr(fold_sql()).alias("chars")).toArrow()
+    counts = map_batches(rows, count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
+    top = map_batches(counts.orderBy(F.desc("n"), "w").limit(most).select("w").repartition(12), tokens, "word string, w array<bigint>")
+    # At most `most` rows of two short values.
+    return top.withColumn("__pairs", rank_map(docs.sparkSession, path)).select("word", F.expr(fold_sql()).alias("ids")).toArrow()
 
 
 @lru_cache(2)
-def _hot(data: bytes) -> dict[str, str]:
-    rows = pa.ipc.open_stream(data).read_all()
-    return dict(zip(rows["w"].to_pylist(), rows["chars"].to_pylist(), strict=True))
+def _hot_array(data: bytes) -> np.ndarray:
+    """The hot words in ascending order, as an array of HOT_BYTES a word."""
+    return np.array([w.encode() for w in pa.ipc.open_stream(data).read_all()["word"].to_pylist()], f"S{HOT_BYTES}")
 
 
-def blocks_of(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS, hot: pa.Table | None = None) -> DataFrame:
-    """Rows of blocks: distinct pieces to fold, tokens of pieces that need no fold, documents with the numbers of their pieces."""
-    sink = pa.BufferOutputStream()
-    if hot is not None:
-        with pa.ipc.new_stream(sink, hot.schema) as out:
-            out.write_table(hot)
-    sent = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+def places_of(coded: list[bytes], hot: np.ndarray) -> np.ndarray:
+    """The place of each piece among the hot words, or -1."""
+    if not len(hot) or not coded:
+        return np.full(len(coded), -1)
+    fits = np.fromiter(map(can_be_hot, coded), bool, len(coded))
+    found = np.array([x if y else b"" for x, y in zip(coded, fits, strict=True)], f"S{HOT_BYTES}")
+    place = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
+    return np.where(fits & (hot[place] == found), place, -1)
+
+
+def flat_lists(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and values of the lists."""
+    return np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy().astype(np.int32)
+
+
+@lru_cache(2)
+def _known_ids(data: bytes, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and ids of the entries of fixed number: each token, then each hot word."""
+    vocabulary_size = max(read_ranks(path).values()) + 1
+    sizes, values = flat_lists(pa.ipc.open_stream(data).read_all()["ids"].combine_chunks())
+    return np.concatenate([np.ones(vocabulary_size, np.int64), sizes]), np.concatenate([np.arange(vocabulary_size, dtype=np.int32), values])
+
+
+def blocks_of(docs: DataFrame, path: str, hot: bytes, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows of blocks: distinct pieces to fold, ids of pieces too long for that, documents with the codes of their pieces.
+
+    A code from 0 counts the words of the block; -1 - k is entry k of: the tokens, the hot words, the block's long pieces.
+    """
     item = pa.struct([("doc_id", pa.int64()), ("pieces", pa.list_(pa.int32()))])
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, str]] = []
         chars = 0
-        ready = _hot(sent.value) if sent.value else {}
+        ranks, ready = read_ranks(path), _hot_array(sent.value)
+        first = max(ranks.values()) + 1
 
         def flush() -> pa.RecordBatch:
             nonlocal held, chars
             texts = [t for _, t in held]
-            known: dict[str, int] = {}
-            done: dict[str, int] = {}
-            long: list[str] = []
+            words: dict[bytes, int] = {}
+            long: list[list[int]] = []
             parts_of: list[list[np.ndarray]] = [[] for _ in texts]
+
             for numbers, parts in chunked(texts, CHUNK):
                 pieces, local, before, _, _ = numbered_pieces(parts, "spaced", MAX_FOLD // 4)
-                number = np.empty(len(pieces), np.int32)
-                for k, piece in enumerate(pieces):
-                    if piece in ready:
-                        number[k] = done.get(piece, 0)
-                        if not number[k]:
-                            long.append(ready[piece])
-                            number[k] = done[piece] = -len(long)
-                    elif len(piece) > MAX_FOLD // 4 and len(piece.encode()) > MAX_FOLD:
-                        long.append("".join(map(token_char, encoder(path, "ranks").piece(piece))))
-                        number[k] = -len(long)
+                coded = [x.encode("utf-8", "surrogatepass") for x in pieces]
+                number = -1 - np.fromiter((ranks.get(x, -1) for x in coded), np.int32, len(coded))
+                rest = np.flatnonzero(number == 0)
+                place = places_of([coded[k] for k in rest], ready)
+                number[rest] = -1 - first - place
+                for k in rest[place < 0].tolist():
+                    x = coded[k]
+                    if len(x) > MAX_FOLD:
+                        long.append(heap_fold(x, ranks))
+                        number[k] = -first - len(ready) - len(long)
                     else:
-                        number[k] = known.setdefault(piece, len(known))
+                        number[k] = words.setdefault(x, len(words))
                 codes = number[local]
                 for k, i in enumerate(numbers):
                     parts_of[i].append(codes[before[k] : before[k + 1]])
@@ -223,12 +264,12 @@ def blocks_of(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS, hot: p
             numbers_ = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate(lists)))
             rows = pa.StructArray.from_arrays([pa.array([i for i, _ in held], pa.int64()), numbers_], fields=list(item))
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-            out = pa.RecordBatch.from_arrays([one(pa.array(list(known), pa.string())), one(pa.array(long, pa.string())), one(rows)], ["words", "long", "docs"])
+            out = pa.RecordBatch.from_arrays([one(byte_tokens(list(words), path)), one(pa.array(long, pa.list_(pa.int64()))), one(rows)], ["words", "long", "docs"])
             held, chars = [], 0
             return out
 
         for whole in batches:
-            for batch in small(whole, 500):
+            for batch in small(whole):
                 for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
                     held.append((doc_id, text))
                     chars += len(text)
@@ -238,47 +279,101 @@ def blocks_of(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS, hot: p
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "words array<string>, long array<string>, docs array<struct<doc_id:bigint,pieces:array<int>>>")
+    return rows.mapInArrow(run, "words array<array<bigint>>, long array<array<bigint>>, docs array<struct<doc_id:bigint,pieces:array<int>>>")
+
+
+def ids_of_blocks(batches: Iterator[pa.RecordBatch], hot: bytes, path: str) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """doc_ids and ids of runs of documents, from folded blocks."""
+    fixed_sizes, fixed = _known_ids(hot, path)
+    for batch in batches:
+        for row in range(batch.num_rows):
+            part = batch.slice(row, 1)
+            word_sizes, words = flat_lists(part.column(0).flatten())
+            long_sizes, long = flat_lists(part.column(1).flatten())
+            # In the order of codes: ..., the first hot word, ..., the first token | the words of the block.
+            size = np.concatenate([fixed_sizes, long_sizes, word_sizes])
+            at = np.cumsum(size) - size
+            ids = np.concatenate([fixed, long, words])
+            negative = len(fixed_sizes) + len(long_sizes)
+            documents = part.column(2).flatten()
+            doc_ids, lists = documents.field(0).to_pylist(), documents.field(1)
+            offsets, codes = lists.offsets.to_numpy(), lists.values.to_numpy()
+            first = 0
+            while first < len(doc_ids):
+                last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + OUT_TOKENS, "right")) - 1)
+                mine = codes[offsets[first] : offsets[last]]
+                entry = np.where(mine >= 0, mine + negative, -1 - mine)
+                count = size[entry]
+                ends = np.cumsum(count)
+                total = int(ends[-1]) if len(ends) else 0
+                tokens = ids[np.repeat(at[entry] - (ends - count), count) + np.arange(total)]
+                cut = np.concatenate([[0], ends])[offsets[first : last + 1] - offsets[first]]
+                yield doc_ids[first:last], [tokens[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                first = last
+
+
+def encoded(docs: DataFrame, path: str, make: Callable[[], Callable[[list, list[np.ndarray]], pa.RecordBatch]], schema: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """What a function of doc_ids and ids makes of every whole text; the function is made once a task, on the executor."""
+    found = hot_words(docs, path)
+    # Ascending by bytes, which is the order by code points.
+    found = found.sort_by("word")
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, found.schema) as out:
+        out.write_table(found)
+    data = sink.getvalue().to_pybytes()
+    sent = docs.sparkSession.sparkContext.broadcast(data)
+    blocks = blocks_of(docs, path, data, block_chars).withColumn("__pairs", rank_map(docs.sparkSession, path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for doc_ids, ids in ids_of_blocks(batches, sent.value, path):
+            yield f(doc_ids, ids)
+
+    return blocks.select(F.expr(f"transform(words, w -> {fold_sql()})").alias("words"), "long", "docs").mapInArrow(run, schema)
 
 
 def encode_documents(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id and ids (array<int>) of every whole text."""
-    encoded = F.expr(f"transform(words, w -> {fold_sql()})")
 
-    def documents(table_: Column) -> Column:
-        ids = lambda k: F.when(k >= 0, F.get(table_, k)).otherwise(F.get(F.col("long"), -k - 1))
-        return F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.array_join(F.transform(d["pieces"], ids), "").alias("chars")))
+    def make():
+        return lambda doc_ids, ids: pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    return encoded(docs, path, make, "doc_id long, ids array<int>", block_chars)
 
-    return with_tables(blocks_of(docs, path, block_chars, hot_words(docs, path)), path).select(F.explode(_let(encoded, documents)).alias("d")).select("d.doc_id", char_ids(F.col("d.chars")).alias("ids"))
 
+@lru_cache(None)
+def _pieces(path: str) -> list[bytes]:
+    ranks = read_ranks(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
 
-def _table(path: str, cell) -> Column:
-    """A literal array with a cell a rank, constant-folded once."""
-    by_rank = sorted((r, t) for t, r in read_ranks(path).items())
-    cells = [""] * (by_rank[-1][0] + 1)
-    for rank, token in by_rank:
-        cells[rank] = cell(rank, token)
-    return F.split(F.lit(" ".join(cells)), " ")
 
+def decode(ids: np.ndarray, path: str) -> bytes:
+    """The bytes that the ids stand for."""
+    pieces = _pieces(path)
+    return b"".join(chain.from_iterable([pieces[i] for i in ids[at : at + OUT_TOKENS].tolist()] for at in range(0, len(ids), OUT_TOKENS)))
 
-def ids_binary(ids: Column, path: str) -> Column:
-    """The ids as little-endian unsigned 32-bit integers."""
-    words = _table(path, lambda rank, token: rank.to_bytes(4, "little").hex())
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(words, i)), ""))
 
+def decode_documents(rows: DataFrame, path: str) -> DataFrame:
+    """doc_id and data (binary) of rows of doc_id and ids."""
 
-def decode_ids(ids: Column, path: str) -> Column:
-    """The bytes that the ids stand for."""
-    pieces = _table(path, lambda rank, token: token.hex())
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+    def make():
+        return lambda batch: pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else decode(np.array(x, np.int64), path) for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "data"])
+
+    return map_batches(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")), make, "doc_id long, data binary")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
-    rows = encode_documents(table(spark, sf_dir, "documents"), path)
-    return rows.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(ids_binary(F.col("ids"), path), 256).alias("ids_sha256"),
-        F.sha2(decode_ids(F.col("ids"), path), 256).alias("decoded_sha256"),
-    )
+
+    def make():
+        def run(doc_ids: list, ids: list[np.ndarray]) -> pa.RecordBatch:
+            coded = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
+            plain = [hashlib.sha256(decode(x, path)).hexdigest() for x in ids]
+            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(list(map(len, ids)), pa.int64()), pa.array(coded), pa.array(plain)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+        return run
+
+    return encoded(table(spark, sf_dir, "documents"), path, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,8 +4,7 @@ import numpy as np
 import public_tokenizers as P
 import tiktoken
 
-from folioweave.llm.bytebpe import MAX_FOLD, decode_ids, encode_documents, op3_byte_bpe, read_ranks
-from pyspark.sql import functions as F
+from folioweave.llm.bytebpe import MAX_FOLD, decode_documents, encode_documents, heap_fold, op3_byte_bpe, read_ranks
 
 from .helpers import ODD, docs, write_docs
 
@@ -30,8 +29,26 @@ def test_odd_documents(spark, tmp_path):
 
 
 def test_small_blocks_and_decode(spark):
-    out = encode_documents(docs(spark), PATH, block_chars=50).select("doc_id", decode_ids(F.col("ids"), PATH).alias("b")).collect()
-    assert sorted(bytes(r.b).decode() for r in out) == sorted(t or "" for _, t in ODD)
+    out = decode_documents(encode_documents(docs(spark), PATH, block_chars=50), PATH).collect()
+    assert sorted(bytes(r.data).decode() for r in out) == sorted(t or "" for _, t in ODD)
+
+
+def test_heap_makes_the_merges_of_the_library():
+    rng, enc, ranks = np.random.default_rng(4), library(), read_ranks(PATH)
+    for n in (1, 2, 3, 30, 401, 5000):
+        for letters in ("a", "ab", "etaoinshrdlu", "ßéÉ中"):
+            piece = "".join(rng.choice(list(letters), n)).encode()
+            assert heap_fold(piece, ranks) == enc._encode_single_piece(piece)
+
+
+def test_fold_of_a_long_piece_takes_linearithmic_time():
+    assert len(heap_fold(b"x" * 1_000_000, read_ranks(PATH))) < 1_000_000
+
+
+def test_a_text_over_one_chunk(spark):
+    text = "Überall stand ein Wort-Ungetüm 12345 und noch eins. " * 25_000
+    row = encode_documents(docs(spark, [(1, text)]), PATH).first()
+    assert row.ids == library().encode_ordinary(text)
 
 
 def test_empty_table(spark, tmp_path):
