@@ -202,15 +202,22 @@ class PieceEncoder:
         import tiktoken
 
         self.words = kind == "json_words"
+        self.added: dict[str, int] = {}
         if kind == "ranks":
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         else:
             with open(path, encoding="utf-8") as f:
-                model = json.load(f)["model"]
+                file = json.load(f)
+            model = file["model"]
+            for x in file.get("added_tokens") or []:
+                if x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"]:
+                    raise ValueError(f"added token {x['content']} has options that are not supported")
+                self.added[x["content"]] = x["id"]
             ranks = byte_ranks(model["vocab"], model.get("end_of_word_suffix") or "")
         self.core = tiktoken.Encoding("pieces", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.cache: dict[str, list[int]] = {}
+        self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
 
     def piece(self, text: str) -> list[int]:
         got = self.cache.get(text)
@@ -231,7 +238,14 @@ class PieceEncoder:
         return text.lower()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+        """The ids of each text; tokens that the file adds to its model are cut out of the raw text first."""
+        if self.cut is None or not any(map(self.cut.search, texts)):
+            return self._plain(texts)
+        cut = [self.cut.split(x) for x in texts]  # plain, token, plain, ...
+        plain = iter(self._plain([y for x in cut for y in x[::2]]))
+        return [np.concatenate([np.array([self.added[y]], np.uint32) if k % 2 else next(plain) for k, y in enumerate(x)]) for x in cut]
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
         out: list[list[np.ndarray]] = [[] for _ in texts]
         for numbers, parts in chunked(texts):
             flat, offsets = self._chunk([self.normal(x) for x in parts])

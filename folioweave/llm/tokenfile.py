@@ -11,7 +11,7 @@ start: sums by part (one row a file) are added up and broadcast; their number is
 the number of files, `partitions`, a parameter.
 
 Defined results: null text is the end id alone; null doc_ids come first; equal
-doc_ids are ordered by text; each row keeps its own entry; an empty table gives
+doc_ids are ordered by a hash of the text; each row keeps its own entry; an empty table gives
 no rows; extra columns are ignored.
 """
 
@@ -65,7 +65,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, kind: str = "
                 start += int(at[-1])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    ordered = rows.repartitionByRange(partitions or parallel(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # However many rows share a doc_id, or all they hold, they are split: equal rows by their number in the scan.
+    order = [F.col("doc_id"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row")]
+    placed = rows.select("doc_id", "text", *order[1:]).repartitionByRange(partitions or parallel(spark), "doc_id", "hash", "row")
+    ordered = placed.sortWithinPartitions("doc_id", "hash", "row").select("doc_id", "text")
     ordered.mapInArrow(run, FILE_SCHEMA).write.options(**ORC_OPTIONS).orc(path)
 
 

@@ -17,6 +17,7 @@ ODD = [
     (9, "a" * 5000),
     (10, " \t\n \x0b "),
     (11, "don't 'S 's's '' I'll we've ,'re"),
+    (12, "abc<|endoftext|>def <|startoftext|><|endoftext|>  's <|ENDOFTEXT|> <|endoftext"),
 ]
 
 

@@ -13,7 +13,6 @@ from .helpers import docs, write_docs
 
 def tokens(texts):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [x.ids + [0] for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
