@@ -5,11 +5,13 @@ so a group of a third of all rows is a few rows a task). Groups of at least
 1/UNITS of all bytes are units of their own: there are at most UNITS of them.
 All smaller groups are bundled by fingerprint into UNITS bundles. Units sorted
 by size, descending, go to the least-loaded shard through a heap; the driver
-never holds more than 2 * UNITS sizes, whatever the input. A shard's
-final load differs from the least by at most the largest unit it got last.
+never holds more than 2 * UNITS sizes, whatever the input. Bundling is what keeps
+the driver's list bounded and departs from scheduling every group by itself: two
+shards' loads differ by at most the largest unit, which is a group of over 1/UNITS
+of all bytes or a bundle, on average of 1/UNITS.
 
 Slots are gapless in each shard without ordering a shard in one task: rows are
-dealt to UNITS cells a shard by doc_id, cells are counted (at most
+dealt to UNITS / 8 cells a shard by a hash, cells are counted (at most
 shards * UNITS counts) and numbered, and a window ranks rows in a cell.
 
 Defined results: null text has size 1 and forms a group; equal rows get
@@ -24,7 +26,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fingerprint, table, text_or_empty
+from .common import fingerprint, materialised, table, text_or_empty
 
 UNITS = 4096
 
@@ -50,6 +52,9 @@ def assign_shards(docs: DataFrame, shards: int = 8, units: int = UNITS) -> DataF
         F.crc32(text.cast("binary")).alias("text_crc32"),
         *fingerprint(text),
     )
+    # A doc_id or a row may be repeated any number of times, so its number in the scan takes part; stored, it is the same for all that follows.
+    cell = F.pmod(F.xxhash64("doc_id", "h1", F.monotonically_increasing_id()), F.lit(units // 8)).cast("int")
+    rows = materialised(rows.withColumn("cell", cell), "sizes")
     groups = rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"))
     total = rows.agg(F.sum("size").alias("n")).first()["n"] or 0
     limit = total // units + 1
@@ -73,8 +78,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, units: int = UNITS) -> DataF
     else:
         rows = rows.withColumn("own", F.lit(None).cast("int"))
     rows = rows.withColumn("shard", F.coalesce("own", small_shard))
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(units // 8)).cast("int")
-    rows = rows.select("doc_id", "size", "text_crc32", "shard", cell.alias("cell"))
+    rows = rows.select("doc_id", "size", "text_crc32", "shard", "cell")
     counts = rows.groupBy("shard", "cell").count()
     base = counts.select("shard", "cell", F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     order = Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size")

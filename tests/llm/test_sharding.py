@@ -43,3 +43,21 @@ def test_empty_table(spark, tmp_path):
 
 def test_schedule_is_longest_first():
     assert schedule([(5, "a"), (4, "b"), (3, "c"), (3, "d")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
+
+
+def test_one_doc_id_and_equal_rows_are_spread_over_cells(spark):
+    rows = [(5, f"text {i}") for i in range(400)] + [(5, "the same row")] * 400 + [(None, "none")] * 50
+    check([r for r in assign_shards(docs(spark, rows)).collect()], rows)
+
+
+def test_against_scheduling_every_group_by_itself(spark):
+    """With fewer groups than units and each above the limit, the shards are those of the plain schedule."""
+    rows = [(i, "x" * (100 + 7 * (i % 23)) + str(i % 40)) for i in range(200)]
+    size = defaultdict(int)
+    for _, t in rows:
+        size[t] += len(t) + 1
+    want = sorted(sum(size[t] for t, s in schedule([(n, t) for t, n in size.items()], 8).items() if s == k) for k in range(8))
+    load = defaultdict(int)
+    for r in assign_shards(docs(spark, rows)).collect():
+        load[r.shard] += r.size
+    assert sorted(load.values()) == want
