@@ -8,8 +8,9 @@ found by a partial aggregation, only digests that occur again are joined, and
 Spark can split that join at a hot digest.
 
 Reading: whole files come through Spark's binary source; a task inflates and
-parses its file piece by piece by Content-Length. Files are bounded by
-RECORDS_PER_FILE and the writer's partitions.
+parses its file piece by piece by Content-Length. Files are bounded by the
+writer's partitions and by a number of records, RECORDS_PER_FILE or as many as
+hold FILE_BYTES of payloads on average.
 
 Assembly: requests and metadata name a record of their transaction in
 WARC-Concurrent-To, and a response may name its request; names are resolved by
@@ -37,6 +38,9 @@ from .common import materialised, table, work_folder
 
 MIN_REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 10_000
+#: Bytes of payloads in an archive, about, before compression.
+FILE_BYTES = 128 << 20
+COPIES = 10_000
 END = "\r\n"
 RECORDS = "record_id string, type string, concurrent_to string, refers_to string, uri string, payload_bytes long, payload_digest string"
 
@@ -49,13 +53,14 @@ def _record(kind: str, record_id: Column, headers: dict[str, Column], block: Col
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """page_id, uri, payload, digest, refers_page (null: stored in full) of every page."""
+    """page_id, uri, payload, digest, refers_page and refers_uri (null: stored in full) of every page."""
     payload = F.coalesce("html", F.lit(""))
     uri = F.regexp_replace(F.coalesce("url", F.lit("urn:none")), r"[\s\x00-\x20]+", "%20")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), uri.alias("uri"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"), (F.octet_length(payload) >= MIN_REVISIT_BYTES).alias("large"))
-    again = rows.where("large").groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "last")
+    again = rows.where("large").groupBy("digest").agg(F.max(F.struct("page_id", "uri")).alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "last")
     joined = rows.join(again, "digest", "left")
-    return joined.select("page_id", "uri", "payload", "digest", F.when(~F.col("last").eqNullSafe(F.col("page_id")), F.col("last")).alias("refers_page"))
+    refers = ~F.col("last.page_id").eqNullSafe(F.col("page_id"))
+    return joined.select("page_id", "uri", "payload", "digest", F.when(refers, F.col("last.page_id")).alias("refers_page"), F.when(refers, F.col("last.uri")).alias("refers_uri"))
 
 
 def page_record(page_id: Column, digest: Column, kind: str = "capture") -> Column:
@@ -65,19 +70,23 @@ def page_record(page_id: Column, digest: Column, kind: str = "capture") -> Colum
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write a transaction of records for every page as gzip-compressed archives."""
     rows = captures(pages)
-    tag = F.concat("digest", F.lit(":"), F.lower(F.hex(F.xxhash64("uri"))))
+    # Pages of any size share the archives, so as many as hold FILE_BYTES on average; three records a page.
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)) + 500)).first()[0] or 1.0
+    records = max(3, min(RECORDS_PER_FILE, int(3 * FILE_BYTES / mean)))
+    tag_of = lambda uri: F.concat("digest", F.lit(":"), F.lower(F.hex(F.xxhash64(uri))))
+    tag = tag_of("uri")
     own, request = page_record(F.col("page_id"), tag), page_record(F.col("page_id"), tag, "request")
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.octet_length("payload").cast("string"), F.lit(END * 2))
     digest = F.concat(F.lit("sha1:"), F.col("digest"))
     common = {"WARC-Target-URI": F.col("uri"), "WARC-Payload-Digest": digest}
     http = "application/http; msgtype="
     response = _record("response", own, {**common, "Content-Type": F.lit(f"{http}response")}, F.concat(head, "payload"))
-    target = page_record(F.col("refers_page"), F.col("digest"))
+    target = page_record(F.col("refers_page"), tag_of("refers_uri"))
     revisit = _record("revisit", own, {**common, "WARC-Profile": F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), "WARC-Refers-To": target, "Content-Type": F.lit(f"{http}response")}, head)
     ask = _record("request", request, {"WARC-Target-URI": F.col("uri"), "WARC-Concurrent-To": own, "Content-Type": F.lit(f"{http}request")}, F.lit(f"GET / HTTP/1.1{END}{END}"))
     notes = _record("metadata", page_record(F.col("page_id"), tag, "metadata"), {"WARC-Target-URI": F.col("uri"), "WARC-Concurrent-To": request, "Content-Type": F.lit("application/warc-fields")}, F.lit(f"fetchTimeMs: 0{END}"))
     lines = rows.select(F.explode(F.array(ask, F.when(F.col("refers_page").isNull(), response).otherwise(revisit), notes)).alias("value"))
-    lines.write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    lines.write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 def parse(data: bytes, piece: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -174,7 +183,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Assembly reads the records several times; archives are parsed once.
     rows = assemble(materialised(read_archives(spark, path), "records"))
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:capture:([^:]*):', 1) AS BIGINT)")
-    each = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    # Two steps, so that no array is as long as a row is often repeated.
+    first = rows.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
+    each = first.withColumn("copy", F.explode(F.sequence(F.col("from"), F.least(F.col("copies"), F.col("from") + COPIES) - 1)))
     return each.select(page("record_id").alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), page("response.refers_to").alias("refers_to"), "n_request", "n_metadata")
 
 

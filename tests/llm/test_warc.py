@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 
+from folioweave.llm import warc
 from folioweave.llm.warc import assemble, op7_warc, parse, read_archives, write_archives
 
 BIG = "<html>" + "é\r\n\r\nWARC/1.0\r\nContent-Length: 5\r\n\r\n" * 60 + "</html>"
@@ -77,3 +78,18 @@ def test_parse_members_and_plain():
 
 def test_empty_table(spark, tmp_path):
     assert op7_warc(spark, pages(spark, tmp_path, [])).count() == 0
+
+
+def test_what_a_revisit_refers_to_exists(spark, tmp_path):
+    rows = PAGES + [("clash", 9, "http://i", BIG), ("clash", 9, "http://j", BIG), ("clash", 10, None, "y" * 3000), ("clash", 11, "http://k", "y" * 3000)]
+    write_archives(spark.read.parquet(f"{pages(spark, tmp_path, rows)}/pages.parquet"), f"{tmp_path}/warc")
+    records = read_archives(spark, f"{tmp_path}/warc").collect()
+    full = {r.record_id: r.payload_digest for r in records if r.type == "response"}
+    revisits = [r for r in records if r.type == "revisit"]
+    assert len(revisits) == 5 and all(full[r.refers_to] == r.payload_digest for r in revisits)
+
+
+def test_many_equal_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "COPIES", 7)
+    rows = [("x", 1, "http://a", "same")] * 50 + [("x", 2, "http://b", "other")]
+    assert sorted(r.page_id for r in op7_warc(spark, pages(spark, tmp_path, rows)).collect()) == [1] * 50 + [2]
