@@ -1,23 +1,23 @@
 """Approximate nearest neighbours by cross-polytope hashing, multiprobe tables and exact reranking.
 
 Each table rotates a unit vector by three rounds of random signs and a fast
-Hadamard transform and takes the nearest signed axis, whatever the number of
-vectors (two rotations are combined only where `coarse` asks for it). Every vector is indexed, a query probes the PROBES best
-buckets of each of TABLES tables. Candidates meet queries as blocks: a bucket of
-more than BLOCK vectors is split by a hash of the id, its queries likewise, and
-each pair of blocks is one small matrix product, of which every query keeps its
-best. Those are scored again in double precision on the original vectors.
-
-Rows of equal vectors form one class that carries its MOST smallest ids, which
-is all that any query can return of it; so a vector that a third of all rows
-share is indexed once. Up to SMALL vectors there is one bucket, so the search is
-exact; queries that find fewer neighbours than asked are searched
-again against all blocks.
+Hadamard transform and takes the nearest signed axis, at every number of
+vectors. Every vector is indexed, a query probes the PROBES best buckets of each
+of TABLES tables. Candidates meet queries as blocks: a bucket of more than BLOCK
+vectors is split by a hash of the id, its queries likewise, and each pair of
+blocks is one small matrix product, of which every query keeps its best and all
+that tie with them. Those are scored again in double precision on the original
+vectors.
+
+Rows of equal vectors form one class that carries its smallest ids, as many as
+any query can return of it; so a vector that a third of all rows share is
+indexed once. Queries that find fewer neighbours than asked are searched again
+against all blocks, themselves split into blocks.
 
 Scale: hashing is one pass; the index is shuffled once with TABLES copies of
-each class; counts of buckets (tables * buckets rows, a fixed bound)
-are broadcast. A query meets a fixed share of all vectors, so scoring grows with
-queries times vectors. Measured recall: README.
+each class; counts of buckets (TABLES * 2 * padded dimensions rows, whatever the
+number of vectors) are broadcast. A query meets a fixed share of all vectors, so
+scoring grows with queries times vectors. Measured recall: README.
 
 Defined results: vectors null, empty, zero, of another length than most, or with
 null or non-finite components, and rows without vec_id, take no part; repeated
@@ -36,8 +36,9 @@ from .common import fingerprint, map_batches, materialised, table
 
 TABLES = 16
 PROBES = 6
-SMALL = 2000
 BLOCK = 2048
+#: More than rounding can move a cosine in double precision.
+ROUNDING = 1e-9
 HITS = "qid long, cid long, ids array<long>, score double"
 
 
@@ -58,26 +59,15 @@ def rotate(x: np.ndarray, seed: int) -> np.ndarray:
     return y
 
 
-def nearest_axes(x: np.ndarray, tables: int, depth: int, probes: int) -> np.ndarray:
-    """Of each row the `probes` best buckets of each table (rows, tables, probes); depth 0: one bucket."""
-    if depth == 0:
-        return np.zeros((len(x), 1, 1), np.int64)
+def nearest_axes(x: np.ndarray, tables: int, probes: int) -> np.ndarray:
+    """Of each row the `probes` best buckets of each table (rows, tables, probes): signed axes, the nearest first."""
     out = np.empty((len(x), tables, probes), np.int64)
     for t in range(tables):
-        found, loss = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
-        for k in range(depth):
-            y = rotate(x, t * 8 + k)
-            size = np.abs(y)
-            take = min(probes, y.shape[1])
-            order = np.argsort(-size, axis=1, kind="stable")[:, :take]
-            best = np.take_along_axis(size, order, 1)
-            code = order * 2 + (np.take_along_axis(y, order, 1) < 0)
-            found = (found[:, :, None] * (2 * y.shape[1]) + code[:, None, :]).reshape(len(x), -1)
-            loss = (loss[:, :, None] + (best[:, :1] - best)[:, None, :]).reshape(len(x), -1)
-            keep = np.argsort(loss, axis=1, kind="stable")[:, :probes]
-            found, loss = np.take_along_axis(found, keep, 1), np.take_along_axis(loss, keep, 1)
-        out[:, t, : found.shape[1]] = found
-        out[:, t, found.shape[1] :] = found[:, :1]
+        y = rotate(x, t * 8)
+        order = np.argsort(-np.abs(y), axis=1, kind="stable")[:, :probes]
+        code = order * 2 + (np.take_along_axis(y, order, 1) < 0)
+        out[:, t, : code.shape[1]] = code
+        out[:, t, code.shape[1] :] = code[:, :1]
     return out
 
 
@@ -87,21 +77,21 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64) if n else np.zeros((0, 1))
 
 
-def hashed(rows: DataFrame, tables: int, depth: int, probes: int) -> DataFrame:
+def hashed(rows: DataFrame, tables: int, probes: int) -> DataFrame:
     """rows (cid, ids, vec) with `buckets`: table * 2**32 + bucket of each table and probe."""
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             x = matrix(batch.column(2))
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            found = nearest_axes(x, tables, depth, probes)
+            found = nearest_axes(x, tables, probes)
             keys = (found + (np.arange(found.shape[1], dtype=np.int64) << 32)[None, :, None]).reshape(len(x), -1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
             return pa.RecordBatch.from_arrays([*batch.columns, lists], ["cid", "ids", "vec", "buckets"])
 
         return run
 
-    return map_batches(rows.select("cid", "ids", "vec"), make, "cid long, ids array<long>, vec array<float>, buckets array<long>")
+    return map_batches(rows.select("cid", "ids", "vec"), make, f"cid long, ids array<long>, vec {rows.schema['vec'].dataType.simpleString()}, buckets array<long>")
 
 
 def score_blocks(keep: int):
@@ -114,16 +104,19 @@ def score_blocks(keep: int):
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
         q, c = matrix(queries["vec"]), matrix(classes["vec"])
         nq, nc = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
-        rough = (q / nq[:, None]) @ (c / nc[:, None]).T
-        take = min(keep + 2, len(c))
-        near = np.argpartition(-rough, take - 1, axis=1)[:, :take]
-        a, b = np.repeat(np.arange(len(q)), take), near.ravel()
-        score = (q[a] * c[b]).sum(1) / (nq[a] * nc[b])
-        cid = classes["cid"].to_numpy()
-        order = np.lexsort((cid[b], -score, a))
-        a, b, score = a[order], b[order], score[order]
-        first = np.arange(len(a)) - np.searchsorted(a, a) < keep
-        a, b, score = a[first], b[first], score[first]
+        unit, cid = (c / nc[:, None]).T, classes["cid"].to_numpy()
+        take, parts = min(keep, len(c)), []
+        for at in range(0, len(q), 64):
+            rough = (q[at : at + 64] / nq[at : at + 64, None]) @ unit
+            # Ties go to the least id, so all that may tie with the last that is kept are scored.
+            least = -np.partition(-rough, take - 1, axis=1)[:, take - 1 : take]
+            a, b = np.nonzero(rough >= least - ROUNDING)
+            score = (q[at + a] * c[b]).sum(1) / (nq[at + a] * nc[b])
+            order = np.lexsort((cid[b], -score, a))
+            a, b, score = a[order], b[order], score[order]
+            first = np.arange(len(a)) - np.searchsorted(a, a) < keep
+            parts.append((at + a[first], b[first], score[first]))
+        a, b, score = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pa.Table.from_arrays([queries["qid"].take(pa.array(a)), classes["cid"].take(pa.array(b)), classes["ids"].take(pa.array(b)), pa.array(score)], names)
 
     return run
@@ -142,22 +135,14 @@ def best_classes(hits: DataFrame, keep: int) -> DataFrame:
     return once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= keep).drop("r")
 
 
-def depth_of(count: int, small: int = SMALL, coarse: int | None = None) -> int:
-    """Rotations a bucket is made of; 0: one bucket."""
-    if count <= small:
-        return 0
-    return 1 if coarse is None or count <= coarse else 2
-
-
-def nearest(rows: DataFrame, query_ids, k: int = 5, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK, small: int = SMALL, coarse: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of each query; rows has vec_id and embedding, query_ids makes a condition of vec_id.
-
-    coarse: number of vectors above which two rotations are combined, never by default; it needs many more probes.
-    """
+def nearest(rows: DataFrame, query_ids, k: int = 5, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of each query; rows has vec_id and embedding, query_ids makes a condition of vec_id."""
     spark = rows.sparkSession
     most = k + 1
     usable = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where(usable)
+    # Scores are made of the original components: floats stay floats, any other kind is taken as doubles.
+    kind = "array<float>" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).where(usable)
     lengths = good.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -168,14 +153,12 @@ def nearest(rows: DataFrame, query_ids, k: int = 5, tables: int = TABLES, probes
     queries = materialised(good.where(query_ids(F.col("vec_id"))).select("vec_id", "h1", "h2").distinct().join(classes.select("h1", "h2", "cid"), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), F.col("cid").alias("qid")), "queries")
     asked = classes.join(queries.select(F.col("qid").alias("cid")).distinct(), "cid", "left_semi")
 
-    count = classes.count()
-    depth = depth_of(count, small, coarse)
-    index = materialised(hashed(classes, tables, depth, 1), "index")
-    probing = materialised(hashed(asked, tables, depth, probes), "probes")
+    index = materialised(hashed(classes, tables, 1), "index")
+    probing = materialised(hashed(asked, tables, probes), "probes")
     keyed = index.select("cid", "ids", "vec", F.explode(F.array_distinct("buckets")).alias("key"))
     sought = probing.select("cid", "vec", F.explode(F.array_distinct("buckets")).alias("key"))
     sizes = lambda df, name: df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
-    # At most tables * buckets rows, a bound that does not grow with the data.
+    # At most tables * 2 * padded dimensions rows, a bound that does not grow with the number of vectors.
     plan = materialised(sizes(keyed.select("key"), "parts").join(sizes(sought.select("key"), "slices"), "key"), "plan")
     own = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -186,10 +169,13 @@ def nearest(rows: DataFrame, query_ids, k: int = 5, tables: int = TABLES, probes
     total = good.select("vec_id").distinct().limit(k + 1).count()
     have = found.groupBy("qid").agg(F.sum(F.size("ids")).alias("n"))
     short = asked.join(have.where(F.col("n") > min(k, total - 1)).select(F.col("qid").alias("cid")), "cid", "left_anti")
-    if depth and not short.isEmpty():
-        blocks = int(-(-count // block))
-        again = short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"key": F.lit(0), "slice": F.lit(0)})
-        everything = classes.withColumns({"part": F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int"), "key": F.lit(0), "slice": F.lit(0)})
+    short = materialised(short, "short")
+    if not short.isEmpty():
+        slices, parts = (max(1, -(-df.count() // block)) for df in (short, classes))
+        split = lambda n: F.pmod(F.xxhash64("cid"), F.lit(n)).cast("int")
+        all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        again = short.withColumns({"key": F.lit(0), "slice": split(slices)}).withColumn("part", all_of(parts))
+        everything = classes.withColumns({"key": F.lit(0), "part": split(parts)}).withColumn("slice", all_of(slices))
         extra = best_classes(meet(again, everything, most), most)
         found = found.join(short.select(F.col("cid").alias("qid")), "qid", "left_anti").unionByName(extra)
 

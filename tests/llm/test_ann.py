@@ -1,6 +1,6 @@
 import numpy as np
 
-from folioweave.llm.ann import PROBES, SMALL, TABLES, depth_of, nearest, nearest_axes, op2_ann
+from folioweave.llm.ann import nearest, op2_ann
 
 SCHEMA = "label string, vec_id long, embedding array<float>"
 
@@ -42,61 +42,58 @@ def check(got, want):
         assert [r[1] for r in rows] == [j for _, j in want[i]]
 
 
-def test_small_tables_are_exact(spark, tmp_path):
+def test_odd_rows_by_brute_force(spark, tmp_path):
+    """All buckets probed, so the search is exact; the rows hold everything that takes no part."""
     rows = odd_rows()
+    got = nearest(spark.createDataFrame(rows, SCHEMA), lambda v: v % 50 == 0, probes=16).collect()
+    check(got, brute(rows))
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
-    check(op2_ann(spark, str(tmp_path)).collect(), brute(rows))
+    assert {r.query_id for r in op2_ann(spark, str(tmp_path)).collect()} == set(brute(rows))
 
 
 def test_split_blocks_and_short_queries(spark):
     rows = odd_rows()
     frame = spark.createDataFrame(rows, SCHEMA)
     # Few probes of one table find too little; such queries are searched again in full.
-    got = nearest(frame, lambda v: v % 50 == 0, tables=1, probes=1, block=4, small=0).collect()
+    got = nearest(frame, lambda v: v % 50 == 0, tables=1, probes=1, block=4).collect()
     assert all(len([r for r in got if r.query_id == i]) == 5 for i in brute(rows))
 
 
-def test_recall_of_hashing(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(3000, 64)).astype(np.float32)
-    frame = spark.createDataFrame([("x", i, v) for i, v in enumerate(x.tolist())], SCHEMA)
-    for depth in ({"coarse": 500_000}, {"coarse": 0, "probes": 400, "block": 64}):
-        got = nearest(frame, lambda v: v % 50 == 0, small=100, **depth).collect()
-        unit = x.astype(float) / np.linalg.norm(x, axis=1, keepdims=True)
-        hits = 0
-        for i in range(0, 3000, 50):
-            s = unit @ unit[i]
-            s[i] = -9
-            hits += len(set(np.argsort(-s)[:5].tolist()) & {r.vec_id for r in got if r.query_id == i})
-        assert hits / 300 >= 0.9
+def test_a_query_without_any_candidate_is_searched_in_full(spark):
+    """Vectors of signed axes: a query's bucket holds no other vector."""
+    rows = [("x", 50 * i, [float(i == k) + 0.001 * i * k for k in range(8)]) for i in range(8)]
+    check(nearest(spark.createDataFrame(rows, SCHEMA), lambda v: v % 50 == 0, tables=1, probes=1, block=3).collect(), brute(rows))
 
 
-def test_recall_of_the_query_above_the_exact_size(spark, tmp_path):
-    x = np.random.default_rng(2).normal(size=(SMALL + 500, 64)).astype(np.float32)
-    spark.createDataFrame([("x", i, v) for i, v in enumerate(x.tolist())], SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = op2_ann(spark, str(tmp_path)).collect()
+def test_ties_go_to_the_least_id(spark):
+    """Powers of two times one vector have the very same cosine."""
+    base = np.random.default_rng(5).normal(size=8).astype(np.float32)
+    rows = [("x", i, (base * 2.0 ** ((i * 7) % 58 - 20)).tolist()) for i in range(58)] + [("x", 100, (-base).tolist())]
+    got = nearest(spark.createDataFrame(rows, SCHEMA), lambda v: v == 0, block=16).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4, 5] and len({r.score for r in got}) == 1
+
+
+def test_double_components_are_not_rounded(spark):
+    rows = [("x", 0, [1.0, 1e-9, 0.0]), ("x", 1, [1.0, 0.1 + 1e-12, 0.0]), ("x", 2, [1.0, 0.1, 0.0])]
+    got = nearest(spark.createDataFrame(rows, "label string, vec_id long, embedding array<double>"), lambda v: v == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [2, 1]
+
+
+def recall(got, x):
     unit = x.astype(float) / np.linalg.norm(x, axis=1, keepdims=True)
     hits = 0
     for i in range(0, len(x), 50):
         s = unit @ unit[i]
         s[i] = -9
         hits += len(set(np.argsort(-s)[:5].tolist()) & {r.vec_id for r in got if r.query_id == i})
-    assert 0.9 <= hits / 250
+    return hits / (5 * len(range(0, len(x), 50)))
 
 
-def test_recall_with_the_buckets_of_a_large_table():
-    """The production hashing as it is chosen for 500,001 vectors, over Gaussian vectors, which have no near neighbours."""
-    x = np.random.default_rng(1).normal(size=(3000, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    depth = depth_of(500_001)
-    index, probes = nearest_axes(x, TABLES, depth, 1), nearest_axes(x[::50], TABLES, depth, PROBES)
-    hits = 0
-    for q, i in enumerate(range(0, 3000, 50)):
-        s = x @ x[i]
-        s[i] = -9
-        near = np.argsort(-s)[:5]
-        hits += int((index[near] == probes[q]).any(axis=(1, 2)).sum())
-    assert depth_of(SMALL + 1) == depth == depth_of(10**9) and hits / 300 >= 0.9
+def test_recall_of_the_query(spark, tmp_path):
+    """Gaussian vectors, which have no near neighbours, with every default."""
+    x = np.random.default_rng(2).normal(size=(3000, 64)).astype(np.float32)
+    spark.createDataFrame([("x", i, v) for i, v in enumerate(x.tolist())], SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert recall(op2_ann(spark, str(tmp_path)).collect(), x) >= 0.9
 
 
 def test_empty_and_lonely(spark, tmp_path):
