@@ -7,15 +7,18 @@ carry an informative Dirichlet prior proportional to a token's overall
 frequency, of PRIOR documents or half the toxic ones, if fewer; the TOKENS most significant tokens of z >= MIN_Z are kept, so the
 model has a fixed bound. A word scores its most toxic token's log-odds, any
 other word -DRIFT; a linear-time scan over the toxic words of a text finds all
-maximal segments. The best segment sum, less what chance gives a text of its length, is
-standardised by a Gumbel law fitted to clean documents and mapped to a
-probability by a logistic curve.
+maximal segments. By the extreme-value law of such segments, a text of n words holds
+by chance E = K * n * exp(-decay * s) of a sum of s or more; K and decay are fitted to the best
+segments of clean documents by maximum likelihood. Segments of p-value 1 - exp(-E)
+<= SIGNIFICANT are the toxic passages. A document's evidence, -log E of its best
+segment and of every other significant one together, becomes a probability by a logistic
+curve, which may weigh the length of the text otherwise than the law does.
 
 Scale: counting is a partial aggregation by token and class over at most SAMPLE
 documents; scoring is one pass without a shuffle.
 
 Defined results: null and empty texts score like a text without toxic words;
-each row counts as a document; without labels of both classes all scores are 0;
+each row is scored; without labels of both classes all scores are 0;
 an empty table gives no rows; extra columns are ignored; labels, lang, source and doc_id are never read by a score.
 """
 
@@ -39,10 +42,9 @@ MIN_Z = 4.0
 MIN_DOCS = 5
 MIN_WEIGHT = 2.0
 PRIOR = 200.0
-MOST = 40.0
+SIGNIFICANT = 0.01
 DRIFT = 0.4
 PREFIXES = (4, 5, 6, 7, 8, 9)
-EULER = 0.5772156649015329
 
 
 def tokens_of(word: str) -> list[str]:
@@ -93,10 +95,11 @@ def document_counts(texts: list[str], toxic: list[int]) -> tuple[list[str], np.n
 @dataclass
 class Model:
     weights: dict[str, float]
-    location: float = 0.0
-    scale: float = 1.0
+    rate: float = 1.0
+    decay: float = 1.0
     slope: float = 1.0
     offset: float = -50.0
+    length: float = 0.0
 
     def word_score(self, word: str) -> float:
         return max((self.weights.get(t, 0.0) for t in tokens_of(word)), default=0.0)
@@ -118,12 +121,24 @@ class Model:
             out.append((total, maximal_segments(found)))
         return out
 
-    def statistic(self, total: int, segments: list) -> float:
-        best = max((x[0] for x in segments), default=0.0)
-        return min(best, MOST) - self.scale * math.log(total + 1)
+    def surprise(self, total: int, score: float) -> float:
+        """-log E of a segment in a text of that many words."""
+        return self.decay * score - math.log(self.rate * (total + 1))
+
+    def passages(self, total: int, segments: list) -> list[tuple[float, int, int, float]]:
+        """The significant segments, with their p-values."""
+        tested = [(v, a, b, -math.expm1(-math.exp(-self.surprise(total, v)))) for v, a, b in segments]
+        return [x for x in tested if x[3] <= SIGNIFICANT]
 
-    def probability(self, statistic: float) -> float:
-        x = self.slope * (statistic - self.location) / self.scale + self.offset
+    def statistic(self, total: int, segments: list) -> float:
+        """The evidence of the best segment and of all others that are significant, on a logarithmic scale."""
+        best = self.surprise(total, max((x[0] for x in segments), default=0.0))
+        significant = [self.surprise(total, x[0]) for x in self.passages(total, segments)]
+        evidence = best + sum(significant) - max(significant, default=0.0)
+        return math.copysign(math.log1p(abs(evidence)), evidence)
+
+    def probability(self, total: int, segments: list) -> float:
+        x = self.slope * self.statistic(total, segments) + self.length * math.log(total + 1) + self.offset
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
 
 
@@ -151,8 +166,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """text and toxic of at most `sample` labelled documents outside the held-out fifth."""
     outside = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
     chosen = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & outside).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    # At most `sample` rows.
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    # At most `sample` rows; of a doc_id that is repeated one text counts.
+    mine = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    return mine.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").cast("int").alias("toxic")).select("text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -181,48 +197,77 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def best():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = model.segments(texts_of(batch))
-            return pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in got]), pa.array([max((x[0] for x in s), default=0.0) for _, s in got])], ["toxic", "n", "s"])
+            kind = pa.list_(pa.float64())
+            return pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in got], pa.int64()), pa.array([[x[0] for x in s] for _, s in got], kind)], ["toxic", "n", "sums"])
 
         return run
 
-    # At most `sample` rows of three numbers.
-    found = map_batches(rows, best, "toxic int, n long, s double").toPandas()
-    best_of = np.minimum(found.s.to_numpy(), MOST)
-    model.scale = min(0.5, max(float(best_of[found.toxic == 0].std()) * math.sqrt(6) / math.pi, 0.1))
-    stat = best_of - model.scale * np.log(found.n.to_numpy() + 1)
-    model.location = float(stat[found.toxic == 0].mean()) - EULER * model.scale
-    z, y = (stat - model.location) / model.scale, found.toxic.to_numpy(float)
-    model.slope, model.offset = logistic(z, y)
+    # At most `sample` rows: the sums of the few segments of a text.
+    found = map_batches(rows, best, "toxic int, n long, sums array<double>").collect()
+    clean = [(r["n"], max(r["sums"], default=0.0)) for r in found if r["toxic"] == 0]
+    model.rate, model.decay = extreme_value(np.array([n for n, _ in clean], float) + 1, np.array([x for _, x in clean]), MIN_WEIGHT)
+    z = np.array([[model.statistic(r["n"], [(x, 0, 0) for x in r["sums"]]), math.log(r["n"] + 1)] for r in found])
+    (model.slope, model.length), model.offset = logistic(z, np.array([r["toxic"] for r in found], float))
     return model
 
 
-def logistic(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset of a lightly penalised logistic curve, by Newton steps."""
-    x = np.stack([z, np.ones(len(z))], 1)
-    b = np.zeros(2)
+def extreme_value(size: np.ndarray, best: np.ndarray, least: float = 0.0) -> tuple[float, float]:
+    """Rate and decay for which P(best <= s) = exp(-rate * size * exp(-decay * s)), by maximum likelihood; a best of up to `least`, that of one word, says no more than that there is none above."""
+    found = best > least
+    over = np.maximum(best - least, 0.0)
+    m = int(found.sum())
+    if not m or not size.sum():
+        return 0.5 / max(float(size.sum()), 1.0), 1.0
+    rate = lambda decay: m / float((size * np.exp(-decay * over)).sum())
+
+    def loss(decay: float) -> float:
+        return -(m * math.log(rate(decay)) + m * math.log(decay) - decay * float(over[found].sum()) - m)
+
+    low, high, golden = math.log(1e-3), math.log(1e2), (math.sqrt(5) - 1) / 2
+    for _ in range(80):
+        x, y = high - golden * (high - low), low + golden * (high - low)
+        low, high = (low, y) if loss(math.exp(x)) < loss(math.exp(y)) else (x, high)
+    decay = math.exp(low)
+    return rate(decay) * math.exp(decay * least), decay
+
+
+def logistic(z: np.ndarray, y: np.ndarray, steps: int = 100, penalty: float = 0.1) -> tuple[list[float], float]:
+    """Weights of the columns of z (the first not negative) and offset of a lightly penalised logistic curve, by damped Newton steps."""
+    middle, spread = z.mean(0), z.std(0)
+    spread[spread == 0] = 1.0
+    x = np.column_stack([(z - middle) / spread, np.ones(len(z))])
+    weight = np.array([penalty] * z.shape[1] + [0.0])
+    loss = lambda b: float(np.logaddexp(0, x @ b).sum() - y @ (x @ b) + 0.5 * weight @ (b * b))
+    b = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-2, 1e-3])
-        move = np.linalg.solve(h, x.T @ (y - p) - np.array([1e-2, 1e-3]) * b)
-        b = b + np.clip(move, -1, 1)
-    return max(float(b[0]), 1e-6), float(b[1])
+        move = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(weight + 1e-9), x.T @ (y - p) - weight * b)
+        step = 1.0
+        while step > 1e-6 and loss(b + step * move) > loss(b):
+            step /= 2
+        b = b + step * move
+        if np.abs(step * move).max() < 1e-9:
+            break
+    slopes = b[:-1] / spread
+    slopes[0] = max(slopes[0], 1e-6)
+    return slopes.tolist(), float(b[-1] - (slopes * middle).sum())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, passages (score, start, end in characters) of every row."""
+    """doc_id, score, passages (significant segments: score, start, end in characters, p) of every row."""
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = model.segments(texts_of(batch))
-            p = [model.probability(model.statistic(n, s)) for n, s in got]
-            spans = [[{"score": v, "start": a, "end": b} for v, a, b in s] for _, s in got]
-            kind = pa.list_(pa.struct([("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
+            p = [model.probability(n, s) for n, s in got]
+            spans = [[{"score": v, "start": a, "end": b, "p": q} for v, a, b, q in model.passages(n, s)] for n, s in got]
+            kind = pa.list_(pa.struct([("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "passages"])
 
         return run
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return map_batches(rows, make, "doc_id long, score double, passages array<struct<score:double,start:long,end:long>>")
+    return map_batches(rows, make, "doc_id long, score double, passages array<struct<score:double,start:long,end:long,p:double>>")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,6 +283,6 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for whole in batches:
             for batch in small(whole):
-                yield batch.filter(pa.array([model.probability(model.statistic(n, s)) < 0.5 for n, s in model.segments(texts_of(batch))], pa.bool_()))
+                yield batch.filter(pa.array([model.probability(n, s) < 0.5 for n, s in model.segments(texts_of(batch))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
