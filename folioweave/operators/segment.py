@@ -26,30 +26,24 @@ def paragraphs_of(c: Column) -> Column:
     return F.filter(F.transform(F.split(strip(c), rf"\n{SPACE}*\n"), strip), lambda p: p != "")
 
 
-def _masks(word_boundary: bool) -> list[tuple[str, str]]:
-    ordered = sorted(ABBREVIATIONS, key=len, reverse=True)
-    return [(a, f"__ABBR_{k}__") for k, a in enumerate(ordered, 1)]
+def sentence_end(abbreviations: bool = True, word_boundary: bool = False) -> str:
+    """Pattern of a sentence's end, its marks and closers in group 1, and the white space after it.
 
-
-def masked(c: Column, word_boundary: bool = False) -> Column:
-    """Abbreviations replaced by tokens, longest first; as substrings, or only at word starts."""
-    for a, token in _masks(word_boundary):
-        c = replaced(c, (rf"(?<![\p{{L}}\p{{N}}_]){a[:-1]}\.", token)) if word_boundary else F.replace(c, F.lit(a), F.lit(token))
-    return c
-
-
-def unmasked(c: Column) -> Column:
-    for a, token in _masks(False):
-        c = F.replace(c, F.lit(token), F.lit(a))
-    return c
+    A full stop that an abbreviation ends with is no mark, and no sentence starts with an abbreviation. They are
+    known as substrings (so "books." ends with one), or only at word starts.
+    """
+    if not abbreviations:
+        return rf"(?s)(?=[.!?])(?<=.)([.!?]+{CLOSERS}){SPACE}+(?={STARTERS})"
+    stems = "|".join(a[:-1] for a in ABBREVIATIONS)
+    before = r"(?<![\p{L}\p{N}_])" if word_boundary else ""
+    mark = rf"(?:[!?]|\.(?<!{before}(?:{stems})\.))"
+    return rf"(?s)(?=[.!?])(?<=.)({mark}+{CLOSERS}){SPACE}+(?={STARTERS})(?!(?:{stems})\.)"
 
 
 def sentences_of(paragraph: Column, abbreviations: bool = True, word_boundary: bool = False) -> Column:
     """Sentences of one paragraph: ends are marked in one linear pass, then split."""
-    text = masked(strip(paragraph), word_boundary) if abbreviations else strip(paragraph)
-    marked = replaced(text, (rf"(?s)(?<=.)([.!?]+{CLOSERS}){SPACE}+(?={STARTERS})", f"$1{BREAK}"))
-    clean = (lambda s: collapse(unmasked(s))) if abbreviations else collapse
-    return F.filter(F.transform(F.split(marked, BREAK), clean), lambda s: s != "")
+    marked = replaced(strip(paragraph), (sentence_end(abbreviations, word_boundary), f"$1{BREAK}"))
+    return F.filter(F.transform(F.split(marked, BREAK), collapse), lambda s: s != "")
 
 
 def sentence_records(c: Column, abbreviations: bool = True) -> Column:

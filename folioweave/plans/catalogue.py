@@ -141,7 +141,7 @@ def response_unwrap(t):
 
 
 def sentence_sql(mask: bool) -> str:
-    masks = segment._masks(False)
+    masks = q.masks(segment.ABBREVIATIONS)
     inside = q.masked(q.strip("text"), masks) if mask else q.strip("text")
     out = q.masked("s", masks, back=True) if mask else "s"
     return f"""WITH s AS (SELECT doc_id, unnest({q.marked_sentences(inside)}) AS s, unnest(range(1, len({q.marked_sentences(inside)}) + 1)) AS i FROM documents),
@@ -166,7 +166,7 @@ def sentences_masked(t):
 
 def paragraph_sql(source: str) -> str:
     """CTEs pa(doc_id, g, p) of paragraphs of normalised text and se(k, i, t, pe) of their masked sentences."""
-    masks = segment._masks(False)
+    masks = q.masks(segment.ABBREVIATIONS)
     marked = q.marked_sentences(q.masked("p", masks))
     return f"""pa AS (SELECT doc_id, g, {q.strip('p')} AS p FROM (SELECT doc_id, unnest(regexp_split_to_array(n, '\\n\\s*\\n')) AS p, unnest(range(1, len(regexp_split_to_array(n, '\\n\\s*\\n')) + 1)) AS g FROM (SELECT doc_id, {q.normalised(source)} AS n FROM documents)) WHERE {q.strip('p')} <> ''),
 s0 AS (SELECT doc_id, g, unnest({marked}) AS s, unnest(range(1, len({marked}) + 1)) AS j FROM pa),
@@ -277,8 +277,9 @@ def chunk_warnings(t):
 
 @query("SELECT doc_id, TRUE AS covered FROM documents WHERE regexp_matches(text, '\\S')")
 def coverage_check(t):
-    rows = t("documents").select("doc_id", "text", segment.speech_chunks(F.col("text")).alias("chunks")).where(F.size("chunks") > 0)
-    return rows.select("doc_id", segment.covered(F.col("text"), F.col("chunks")).alias("covered"))
+    # A generator, unlike a filter, makes Spark evaluate the chunks once.
+    checked = text.bound(segment.speech_chunks(F.col("text")), lambda c: F.when(F.size(c) > 0, segment.covered(F.col("text"), c)))
+    return t("documents").select("doc_id", F.explode(F.array_compact(F.array(checked))).alias("covered"))
 
 
 # ------------------------------------------------------------- rewrites and quality

@@ -36,6 +36,11 @@ def marked_sentences(x: str) -> str:
     return f"string_split({rr(x, pattern, chr(92) + '1' + chr(30) + chr(92) + '2')}, chr(30))"
 
 
+def masks(abbreviations: tuple[str, ...]) -> list[tuple[str, str]]:
+    """Abbreviations, longest first, with the token that hides each from the end marks."""
+    return [(a, f"__ABBR_{k}__") for k, a in enumerate(sorted(abbreviations, key=len, reverse=True), 1)]
+
+
 def masked(x: str, masks: list[tuple[str, str]], back: bool = False) -> str:
     for a, token in masks:
         x = f"replace({x}, '{token}', '{a}')" if back else f"replace({x}, '{a}', '{token}')"
