@@ -194,6 +194,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 q AS (SELECT page_id, strlen(h) AS n, sha1(h) AS d, max(page_id) OVER (PARTITION BY h) AS m FROM p),
 r AS (SELECT *, n >= 1000 AND m IS NOT NULL AND page_id IS DISTINCT FROM m AS again FROM q)
 SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
-       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN m END AS refers_to
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN m END AS refers_to,
+       1::BIGINT AS n_request, 1::BIGINT AS n_metadata
 FROM r
 """
