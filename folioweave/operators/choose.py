@@ -66,6 +66,18 @@ def within_budget(df: DataFrame, absent: Column, words: Column, minutes: float |
     return flagged.where(~F.col("__over")).drop("__gone", "__words", "__stop", "__over")
 
 
+def within_run_budget(df: DataFrame, absent: Column, words: Column, minutes: float | None = None, per_minute: float = 150.0, limit: int | None = None, made: Column | None = None, job: str = "job", no: str = "chunk_no") -> DataFrame:
+    """The first `limit` rows, then up to the first absent one that finds the words made in this run at the target.
+
+    made: whether an absent row's result was made (a failure adds no words); the row that stops is not kept.
+    """
+    rows = df if limit is None else first_n(df, limit, job, no)
+    if minutes is None:
+        return rows
+    counted = F.when(F.lit(True) if made is None else F.coalesce(made, F.lit(False)), words).otherwise(0)
+    return within_budget(rows, absent, counted, minutes, per_minute, None, job, no)
+
+
 def token_budget(text: Column) -> Column:
     """Tokens that a service may answer with for a chunk of text."""
     wanted = F.floor(F.greatest(F.lit(1), F.floor(F.length(text) / 3)) * F.lit(1.35)).cast("long") + 256

@@ -110,6 +110,16 @@ def as_json(rows: DataFrame, job: str) -> DataFrame:
     return rows.groupBy(job).agg(F.to_json(F.array_sort(F.collect_list(F.struct("*")))).alias("report"))
 
 
+def progress(rows: DataFrame, job: str, status: Column, **facts: Column) -> DataFrame:
+    """A row per job: status, total_chunks, source_characters, further facts of the job, and the rows as `chunks`, a JSON array in order.
+
+    rows: job, chunk_no, characters and whatever else a chunk reports.
+    """
+    chunks = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", F.struct("*").alias("r")))), lambda x: x["r"]))
+    given = {"status": status, **facts}
+    return rows.groupBy(job).agg(*[F.first(c).alias(k) for k, c in given.items()], F.count(F.lit(1)).alias("total_chunks"), F.sum("characters").alias("source_characters"), chunks.alias("chunks"))
+
+
 def may_fall_back(error_class: Column) -> Column:
     from folioweave.functions.errors import FALLS_BACK
 

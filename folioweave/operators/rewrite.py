@@ -28,7 +28,7 @@ def length_ratio(source: Column, output: Column) -> Column:
 
 
 def length_change(source: Column, output: Column) -> Column:
-    """Change of length in percent, to two places."""
+    """Change of length in percent, to two places, half to even."""
     return F.bround((F.length(output) - F.length(source)) / F.length(source) * 100, 2)
 
 
@@ -48,8 +48,8 @@ def thinks(output: Column) -> Column:
 def validated(df: DataFrame, source: str = "source", output: str = "output") -> DataFrame:
     """df with `validation`, a struct; null where source or output is empty, which is an error for a caller.
 
-    Cheap tests come first in the reasons' order; equal texts never reach difflib. Ratios are compared
-    unrounded and reported to four places.
+    Equal texts never reach difflib; the ratio of all others is part of the report, so none can be skipped. Ratios are
+    compared unrounded and reported to four places.
     """
     s, o = F.col(source), F.col(output)
     some = (F.coalesce(F.length(s), F.lit(0)) > 0) & (F.coalesce(F.length(o), F.lit(0)) > 0)
@@ -75,6 +75,24 @@ def validated(df: DataFrame, source: str = "source", output: str = "output") ->
     return scored.withColumn("validation", F.when(some, record)).drop("__similarity")
 
 
+def candidates(wanted: DataFrame, stored: DataFrame, *keys: str, source: str = "source") -> DataFrame:
+    """wanted with state, output and validation of its stored candidate, read and checked.
+
+    state: missing (no row), unreadable (null text), empty, invalid or valid. output is that of valid ones only;
+    invalid ones keep their validation.
+    """
+    read = stored.select(*keys, strip(F.col("text")).alias("__text"), F.lit(True).alias("__stored"))
+    joined = validated(wanted.join(read, list(keys), "left"), source, "__text")
+    state = (
+        F.when(F.col("__stored").isNull(), "missing")
+        .when(F.col("__text").isNull(), "unreadable")
+        .when(F.length("__text") == 0, "empty")
+        .when(F.coalesce(F.col("validation.valid"), F.lit(False)), "valid")
+        .otherwise("invalid")
+    )
+    return joined.withColumn("state", state).withColumn("output", F.when(F.col("state") == "valid", F.col("__text"))).drop("__text", "__stored")
+
+
 def with_fallback(df: DataFrame, valid: Column, source: str = "source", output: str = "output") -> DataFrame:
     """df with status, text and rejected_text: a candidate that is not valid is replaced by its source and kept beside it."""
     ok = F.coalesce(valid, F.lit(False))

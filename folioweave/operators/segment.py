@@ -187,6 +187,11 @@ def manifest(df: DataFrame, text: str = "text", key: str = "doc_id", limit: int
     return rows.select(key, "chunk_no", F.length("text").cast("long").alias("characters"), word_count(F.col("text")).alias("words"), F.format_string("tts_chunk_%04d.mp3", "chunk_no").alias("audio_file"))
 
 
+def manifest_totals(rows: DataFrame, key: str = "doc_id", limit: int = MAX_SPEECH) -> DataFrame:
+    """A row per document of manifest(): maximum_characters, total_chunks, total_characters, total_words."""
+    return rows.groupBy(key).agg(F.lit(limit).cast("long").alias("maximum_characters"), F.count(F.lit(1)).alias("total_chunks"), F.sum("characters").alias("total_characters"), F.sum("words").alias("total_words"))
+
+
 def covered(source: Column, chunks: Column) -> Column:
     """Whether the chunks hold the source's text, white space apart."""
     return collapse(source) == collapse(F.array_join(chunks, " "))

@@ -90,29 +90,66 @@ def wrapped() -> Column:
 BULLET = r"^[-•]\s+"
 
 
-@query(f"""
-WITH l AS (SELECT doc_id, {q.strip('unnest(string_split(w, chr(10)))')} AS x, unnest(range(1, len(string_split(w, chr(10))) + 1)) AS i FROM (SELECT doc_id, {WRAPPED} AS w FROM documents)),
-k AS (SELECT *, x = '' AS e, regexp_matches(x, '{BULLET}') AS b, {q.heading('x')} AS h FROM l),
-n AS (SELECT *, lag(x) OVER w AS px, lag(e) OVER w AS pe, lag(h AND NOT b) OVER w AS ph, lead(e OR b OR h) OVER w AS no FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+def joined_sql(marks: bool) -> str:
+    """CTEs from k(doc_id, i, x), lines in order, to j(doc_id, text), paragraphs; with marks bullets and headings are seen."""
+    bullet, heading = (f"regexp_matches(x, '{BULLET}')", q.heading("x")) if marks else ("FALSE", "FALSE")
+    return f"""kk AS (SELECT *, x = '' AS e, {bullet} AS b, {heading} AS h FROM k),
+n AS (SELECT *, lag(x) OVER w AS px, lag(e) OVER w AS pe, lag(h AND NOT b) OVER w AS ph, lead(e OR b OR h) OVER w AS no FROM kk WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 p AS (SELECT doc_id, i, CASE WHEN e THEN '' ELSE CASE WHEN px IS NULL OR pe OR ph OR b OR h THEN chr(10) || chr(10) WHEN px LIKE '%-' THEN '' ELSE ' ' END
-  || CASE WHEN x LIKE '%-' AND NOT (h AND NOT b) AND NOT coalesce(no, TRUE) THEN left(x, length(x) - 1) ELSE x END END AS s FROM n)
-SELECT doc_id, regexp_replace(string_agg(s, '' ORDER BY i), '^\\n+', '') AS text FROM p GROUP BY doc_id""")
+  || CASE WHEN x LIKE '%-' AND NOT (h AND NOT b) AND NOT coalesce(no, TRUE) THEN left(x, length(x) - 1) ELSE x END END AS s FROM n),
+j AS (SELECT doc_id, regexp_replace(string_agg(s, '' ORDER BY i), '^\\n+', '') AS text FROM p GROUP BY doc_id)"""
+
+
+def lines_sql(source: str) -> str:
+    """CTE l(doc_id, i, x): tidy lines of a text."""
+    return f"""w AS (SELECT doc_id, regexp_replace({source}, '\\n$', '') AS w FROM documents),
+l AS (SELECT doc_id, i, {q.rr(q.strip('x'), '[ ' + chr(92) + 't]+', ' ')} AS x FROM (SELECT doc_id, unnest(string_split(w, chr(10))) AS x, unnest(range(1, len(string_split(w, chr(10))) + 1)) AS i FROM w))"""
+
+
+@query(f"""
+WITH k AS (SELECT doc_id, {q.strip('unnest(string_split(w, chr(10)))')} AS x, unnest(range(1, len(string_split(w, chr(10))) + 1)) AS i FROM (SELECT doc_id, {WRAPPED} AS w FROM documents)),
+{joined_sql(True)}
+SELECT doc_id, text FROM j""")
 def join_wrapped(t):
     return t("documents").select("doc_id", text.joined_lines(F.split(wrapped(), "\n")).alias("text"))
 
 
-LOOSE = "replace(replace(replace(text, chr(39), '’'), ',', '  ,'), '.', ' .' || chr(10) || chr(10) || chr(10) || chr(10))"
+LOOSE = "replace(replace(replace(text, 'n', 'n' || chr(39) || ' '), ',', '  ,'), '.', ' .' || chr(10) || chr(10) || chr(10) || chr(10))"
+LOOSE_SQL = q.rr(q.rr(q.rr(q.no_soft_hyphen(LOOSE), '[ ' + chr(92) + 't]{2,}', ' '), chr(10) + '{3,}', chr(10) * 2), '[ ' + chr(92) + 't]+([,.;:!?])', chr(92) + '1')
+# An apostrophe loses the blanks after it between two word characters; a second pass sees those that share one.
+APOSTROPHE = (r"([\p{L}\p{N}_])'[ \t]+([\p{L}\p{N}_])", r"\1'\2")
 
 
-@query(f"SELECT doc_id, {q.strip(q.rr(q.rr(q.rr(q.no_soft_hyphen(LOOSE), '[ ' + chr(92) + 't]{2,}', ' '), chr(10) + '{3,}', chr(10) * 2), '[ ' + chr(92) + 't]+([,.;:!?])', chr(92) + '1'))} AS text FROM documents")
+@query(f"SELECT doc_id, {q.strip(q.rr(q.rr(LOOSE_SQL, *APOSTROPHE), *APOSTROPHE))} AS text FROM documents")
 def final_cleanup(t):
     return t("documents").select("doc_id", text.finally_clean(F.expr(LOOSE)).alias("text"))
 
 
-@query()
+KEY = q.rr("translate(upper(x), 'İÜŞĞÖÇ', 'IUSGOC')", chr(92) + "s+")
+BANNERED = f"replace({BROKEN}, ' of ', chr(10) || 'Snop luk' || chr(10) || '- ')"
+BANNERS_GONE = q.rr(q.rr(BANNERED, "={20,}", "\n"), "(?i)PDF SAYFAS[Iı]:" + chr(92) + "s*" + chr(92) + "d+", "\n")
+MENDED = q.rr(q.no_soft_hyphen(q.line_feeds(BANNERS_GONE)), r"([\p{L}])-[ \t]*\n[ \t]*([\p{L}])", r"\1\2")
+TIDIED = q.rr(q.rr(q.rr(q.no_soft_hyphen("text"), r"[ \t]{2,}", " "), r"\n{3,}", "\n\n"), r"[ \t]+([,.;:!?])", r"\1")
+
+
+@query(f"""WITH {lines_sql(MENDED)},
+k AS (SELECT * FROM l WHERE NOT regexp_matches(x, '{NUMBER}') AND {KEY} <> 'SNOPLUK'),
+{joined_sql(True)}
+SELECT doc_id, coalesce({q.strip(q.rr(q.rr(TIDIED, *APOSTROPHE), *APOSTROPHE))}, '') AS text FROM (SELECT doc_id FROM documents) LEFT JOIN j USING (doc_id)""")
 def preclean(t):
-    banners = F.expr(BROKEN)
-    return t("documents").select("doc_id", text.precleaned(banners).alias("text"), text.precleaned_pages(F.concat(F.lit("[[PDF_PAGE_1]]\n"), numbered())).alias("pages_text"))
+    return t("documents").select("doc_id", text.precleaned(F.expr(BANNERED), headers=("SNOPLUK",)).alias("text"))
+
+
+MARKED = f"'[[PDF_PAGE_1]]' || chr(10) || replace({NUMBERED.replace('::VARCHAR', '')}, ' of ', chr(10) || 'ISBN 12' || chr(10) || 'see www.x.org' || chr(10) || 'Snop luk' || chr(10) || '[[PDF_PAGE_2]]' || chr(10))"
+UNMARKED = q.rr(q.no_soft_hyphen(q.line_feeds(MARKED)), r"\[\[PDF_PAGE_\d+\]\]", "\n")
+
+
+@query(f"""WITH {lines_sql(UNMARKED)},
+k AS (SELECT * FROM l WHERE x = '' OR NOT (regexp_matches(x, '^\\d{{1,4}}$') OR {KEY} IN ('STATUENDISESI', 'SNOPLUK', 'SEVGISIZLIK') OR regexp_matches(x, '(?i)\\bISBN\\b') OR regexp_matches(x, '(?i)https?://|www\\.|@[\\p{{L}}\\p{{N}}_]+'))),
+{joined_sql(False)}
+SELECT doc_id, coalesce({q.strip(q.rr(q.rr('text', '[ ' + chr(92) + 't]{2,}', ' '), chr(10) + '{3,}', chr(10) * 2))}, '') AS text FROM (SELECT doc_id FROM documents) LEFT JOIN j USING (doc_id)""")
+def preclean_pages(t):
+    return t("documents").select("doc_id", text.precleaned_pages(F.expr(MARKED)).alias("text"))
 
 
 @query(f"""
@@ -229,10 +266,10 @@ def long_sentence_parts(t):
     return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("part_no"), F.col("r.sentence").alias("part"), F.col("r.paragraph_end").alias("paragraph_end"))
 
 
-def service_sql(source: str, limit: int, cut: bool) -> str:
+def service_sql(source: str, limit: int, cut: bool, table: str = "documents") -> str:
     end = f"string_split({q.rr('p', '([.!?])' + chr(92) + 's+', chr(92) + '1' + chr(30))}, chr(30))"
     whole = q.strip(q.line_feeds(source) if cut else source)
-    return f"""WITH RECURSIVE pa AS (SELECT doc_id || '/' || g AS k, doc_id, g, {q.strip('p')} AS p FROM (SELECT doc_id, unnest(regexp_split_to_array({whole}, '\\n\\s*\\n')) AS p, unnest(range(1, len(regexp_split_to_array({whole}, '\\n\\s*\\n')) + 1)) AS g FROM documents) WHERE {q.strip('p')} <> ''),
+    return f"""WITH RECURSIVE pa AS (SELECT doc_id || '/' || g AS k, doc_id, g, {q.strip('p')} AS p FROM (SELECT doc_id, unnest(regexp_split_to_array({whole}, '\\n\\s*\\n')) AS p, unnest(range(1, len(regexp_split_to_array({whole}, '\\n\\s*\\n')) + 1)) AS g FROM {table}) WHERE {q.strip('p')} <> ''),
 cl AS (SELECT k, {q.strip(f'unnest({end})')} AS t, unnest(range(1, len({end}) + 1)) AS p FROM pa WHERE length(p) > {limit}),
 {q.word_units('lu', 'cl', limit, cut)},
 {q.greedy('lg', 'lu', limit, 1)},
@@ -264,18 +301,29 @@ def llm_chunks_cut_words(t):
     return service_rows(t, F.expr(LONG_WORDS), 500, True)
 
 
-@query()
+LEVELS = f"""WITH outer_chunks AS MATERIALIZED ({service_sql('text', segment.MAX_PRIMARY, False)}),
+keyed AS MATERIALIZED (SELECT doc_id || '/' || chunk_no AS doc_id, text FROM outer_chunks),
+inner_chunks AS ({service_sql('text', segment.MAX_FALLBACK, True, 'keyed')})
+SELECT split_part(doc_id, '/', 1)::BIGINT AS doc_id, split_part(doc_id, '/', 2)::BIGINT AS chunk_no, chunk_no AS sub_no, text FROM inner_chunks"""
+
+
+@query(LEVELS)
 def two_level_chunks(t):
-    return segment.two_level_chunks(t("documents"), "text", "doc_id")
+    rows = segment.two_level_chunks(t("documents"), "text", "doc_id")
+    return rows.withColumns({c: F.col(c).cast("long") for c in ("chunk_no", "sub_no")})
+
+
+FAULTY = """CASE chunk_no % 4 WHEN 0 THEN ' ' || chr(10) WHEN 1 THEN replace(text, 'a', 'a' || chr(173)) WHEN 2 THEN replace(text, 'er', 'e-' || chr(32) || chr(10) || 'r') ELSE text END"""
 
 
-@query(speech_sql(PAGED, 300, 120) + """SELECT doc_id, chunk_no, CASE WHEN length(text) > 300 THEN 'over_limit' ELSE '' END AS warnings, length(text)::BIGINT AS characters FROM ch""")
+@query(speech_sql(PAGED, 300, 120) + f"""SELECT doc_id, chunk_no, concat_ws(',', CASE WHEN NOT regexp_matches(x, '\\S') THEN 'empty' END, CASE WHEN length(x) > 200 THEN 'over_limit' END,
+CASE WHEN contains(x, chr(173)) THEN 'soft_hyphen' END, CASE WHEN regexp_matches(x, '[A-Za-zÇĞİÖŞÜçğıöşü]-\\s*\\n[a-zçğıöşü]') THEN 'broken_word' END) AS warnings, length(x)::BIGINT AS characters FROM (SELECT doc_id, chunk_no, {FAULTY} AS x FROM ch)""")
 def chunk_warnings(t):
-    rows = speech_rows(t, PAGED, 300, 120)
-    return rows.select("doc_id", "chunk_no", F.array_join(segment.chunk_warnings(F.col("text"), 300), ",").alias("warnings"), F.length("text").cast("long").alias("characters"))
+    rows = speech_rows(t, PAGED, 300, 120).withColumn("text", F.expr(FAULTY.replace("chr(173)", "'\u00ad'")))
+    return rows.select("doc_id", "chunk_no", F.array_join(segment.chunk_warnings(F.col("text"), 200), ",").alias("warnings"), F.length("text").cast("long").alias("characters"))
 
 
-@query("SELECT doc_id, TRUE AS covered FROM documents WHERE regexp_matches(text, '\\S')")
+@query(speech_sql("text", segment.MAX_SPEECH, segment.MIN_SPEECH) + f"SELECT d.doc_id, {q.collapse('d.text')} = {q.collapse('c.all_')} AS covered FROM documents d JOIN (SELECT doc_id, string_agg(text, ' ' ORDER BY chunk_no) AS all_ FROM ch GROUP BY doc_id) c USING (doc_id)")
 def coverage_check(t):
     # A generator, unlike a filter, makes Spark evaluate the chunks once.
     checked = text.bound(segment.speech_chunks(F.col("text")), lambda c: F.when(F.size(c) > 0, segment.covered(F.col("text"), c)))
@@ -290,17 +338,17 @@ def rewrite_of() -> Column:
 
 
 
-@query(f"SELECT doc_id, round((length(o) - length(text)) / length(text) * 100, 2)::DOUBLE AS change_percent, abs((length(o) - length(text)) / length(text) * 100) > 10 AS warn FROM (SELECT doc_id, text, {REWRITE} AS o FROM documents WHERE text <> '')")
+@query(f"SELECT doc_id, round_even(exact, 2)::DOUBLE AS change_percent, abs(exact) > 10 AS warn FROM (SELECT doc_id, (length(o) - length(text)) / length(text) * 100 AS exact FROM (SELECT doc_id, text, {REWRITE} AS o FROM documents WHERE text <> ''))")
 def length_change(t):
-    rows = t("documents").where("text <> ''")
+    change = rewrite.length_change(F.col("text"), rewrite_of())
     exact = (F.length(rewrite_of()) - F.length("text")) / F.length("text") * 100
-    return rows.select("doc_id", F.round(exact, 2).alias("change_percent"), (F.abs(exact) > 10).alias("warn"))
+    return t("documents").where("text <> ''").select("doc_id", change.alias("change_percent"), (F.abs(exact) > 10).alias("warn"))
 
 
 def pairs(t) -> DataFrame:
     """Chunks with a rewrite each, made by swapping, cutting or announcing."""
     rows = t("conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("text").alias("source"), (F.col("turn") % 4).alias("m"))
-    out = F.when(F.col("m") == 0, F.col("source")).when(F.col("m") == 1, F.upper("source")).when(F.col("m") == 2, F.concat(F.lit("Analiz: "), "source")).otherwise(F.replace("source", F.lit("e"), F.lit("")))
+    out = F.when(F.col("m") == 0, F.col("source")).when(F.col("m") == 1, F.translate("source", "aeio", "AEIO")).when(F.col("m") == 2, F.concat(F.lit("Analiz: "), "source")).otherwise(F.replace("source", F.lit("e"), F.lit("")))
     return rows.select("id", "source", out.alias("output"))
 
 
@@ -309,6 +357,22 @@ def quality_gate(t):
     return rewrite.validated(pairs(t)).select("id", "validation")
 
 
+PAIRS = """SELECT conv_id || '/' || turn AS id, text AS s, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN translate(text, 'aeio', 'AEIO') WHEN 2 THEN 'Analiz: ' || text ELSE replace(text, 'e', '') END AS o FROM conversations"""
+
+
+@query(f"""SELECT id, length(s)::BIGINT AS original_characters, length(o)::BIGINT AS cleaned_characters, round_even(length(o) / length(s), 4)::DOUBLE AS length_ratio,
+starts_with(lower({q.strip('o')}), 'analiz:') AS added_explanation, contains(lower(o), '<think>') OR contains(lower(o), '</think>') AS contains_thinking,
+concat_ws(',', CASE WHEN length(o) / length(s) NOT BETWEEN 0.9 AND 1.1 THEN 'length_ratio_out_of_range' END, CASE WHEN starts_with(lower({q.strip('o')}), 'analiz:') THEN 'model_added_explanation' END,
+CASE WHEN contains(lower(o), '<think>') OR contains(lower(o), '</think>') THEN 'model_returned_thinking' END) AS reasons, CASE WHEN o = s THEN 1.0 END::DOUBLE AS similarity_of_equals FROM ({PAIRS}) WHERE s <> '' AND o <> ''""")
+def quality_gate_rules(t):
+    """All rules of the gate but the ratio of unequal texts, which SQL lacks."""
+    rows = rewrite.validated(pairs(t)).where("validation IS NOT NULL")
+    v = lambda name: F.col(f"validation.{name}")
+    others = F.array_join(F.filter(v("reasons"), lambda r: r != "similarity_below_threshold"), ",")
+    equal = F.when(F.col("source") == F.col("output"), v("similarity_ratio"))
+    return rows.select("id", v("original_characters"), v("cleaned_characters"), v("length_ratio"), v("added_explanation"), v("contains_thinking"), others.alias("reasons"), equal.alias("similarity_of_equals"))
+
+
 @query(f"SELECT doc_id, CASE WHEN ok THEN 'cleaned' ELSE 'original_fallback' END AS status, sha256(CASE WHEN ok THEN o ELSE text END) AS text_hash, NOT ok AS kept_rejected FROM (SELECT doc_id, text, o, length(o) / length(text) BETWEEN 0.9 AND 1.1 AS ok FROM (SELECT doc_id, text, {REWRITE} AS o FROM documents WHERE text <> ''))")
 def original_fallback(t):
     rows = t("documents").where("text <> ''").select("doc_id", F.col("text").alias("source"), rewrite_of().alias("output"))
@@ -340,18 +404,6 @@ def settings_fingerprint(t):
     return t("documents").select("doc_id", made.alias("fingerprint"))
 
 
-@query("""SELECT doc_id, CASE WHEN m = 0 THEN 'output_missing' WHEN m = 1 THEN 'metadata_missing' WHEN m = 2 THEN 'metadata_invalid' WHEN m = 3 THEN 'source_hash_mismatch'
-WHEN m = 4 THEN 'provider_mismatch' WHEN m = 5 THEN 'model_mismatch' WHEN m = 6 THEN 'settings_fingerprint_mismatch' WHEN m = 7 THEN 'output_unreadable' WHEN m = 8 THEN 'output_hash_mismatch' ELSE 'valid' END AS reason,
-m >= 9 AS valid FROM (SELECT doc_id, doc_id % 11 AS m FROM documents)""")
-def cache_lookup(t):
-    m = F.col("doc_id") % 11
-    wrong = lambda k, good: F.when(m == k, "other").otherwise(good)
-    hash_ = identity.text_hash(F.col("text"))
-    output = F.when(m != 0, F.struct(F.when(m != 7, hash_).alias("hash")))
-    metadata = F.when(m != 1, F.struct((m == 2).alias("invalid"), wrong(3, hash_).alias("source_hash"), wrong(4, F.lit("p")).alias("provider"), wrong(5, F.lit("m")).alias("model"), wrong(6, F.lit("f")).alias("settings_fingerprint"), wrong(8, hash_).alias("output_hash")))
-    reason = identity.cache_reason(output, metadata, F.col("text"), F.lit("p"), F.lit("m"), F.lit("f"))
-    return t("documents").select("doc_id", reason.alias("reason"), (reason == "valid").alias("valid"))
-
 
 # ------------------------------------------------------------------------ selection
 
@@ -446,7 +498,11 @@ def error_class(t):
     return t("events").select("event_id", errors.error_class(message()).alias("error_class"), errors.status_code(message()).alias("code"))
 
 
-@query("SELECT event_id, [469.152, 2.5, NULL, NULL, NULL, 0.85, 12.5, NULL, NULL, 30.0][(event_id % 10)::INT + 1]::DOUBLE AS seconds FROM events")
+ADVISED = rf"""(?i)(?:try again|retry)(?:\s+in|\s+after)?\s+"""
+
+
+@query(f"""SELECT event_id, coalesce(coalesce(try_cast(nullif(regexp_extract(m, '{ADVISED}([0-9.]+)m[0-9.]+s', 1), '') AS DOUBLE), 0) * 60 + try_cast(nullif(regexp_extract(m, '{ADVISED}(?:[0-9.]+m)?([0-9.]+)s', 1), '') AS DOUBLE),
+try_cast(nullif(regexp_extract(m, '{ADVISED}([0-9.]+)ms', 1), '') AS DOUBLE) / 1000, try_cast(nullif(regexp_extract(m, '{ADVISED}([0-9]+)\\b', 1), '') AS DOUBLE))::DOUBLE AS seconds FROM (SELECT event_id, {MESSAGE_SQL} AS m FROM events)""")
 def retry_after(t):
     return t("events").select("event_id", errors.retry_after(message()).alias("seconds"))
 
@@ -500,11 +556,11 @@ def status_counts(t):
     return jobs.rolled_up(rows, "all").drop("all", "status")
 
 
-@query("SELECT user_id, count(*)::BIGINT AS total_chunks, count(*) FILTER (m = 0)::BIGINT AS existing_primary, count(*) FILTER (m = 1)::BIGINT AS existing_fallback, count(*) FILTER (m = 2)::BIGINT AS newly_cleaned, count(*) FILTER (m = 3)::BIGINT AS invalid_candidates, sum(m)::BIGINT AS fallback_subchunks FROM (SELECT user_id, event_id % 4 AS m FROM events) GROUP BY user_id")
+@query("SELECT user_id, count(*)::BIGINT AS total_chunks, count(*) FILTER (m = 0)::BIGINT AS existing_primary, count(*) FILTER (m = 1)::BIGINT AS existing_fallback, count(*) FILTER (m = 2)::BIGINT AS newly_cleaned, count(*) FILTER (m = 3)::BIGINT AS invalid_candidates, sum(m)::BIGINT AS fallback_subchunks, round_even(sum(o) / sum(s), 4)::DOUBLE AS length_ratio FROM (SELECT user_id, event_id % 4 AS m, event_id % 700 + 100 AS s, event_id % 500 + 150 AS o FROM events) GROUP BY user_id")
 def cleaning_report(t):
     m = (F.col("event_id") % 4).cast("int")
-    rows = t("events").select("user_id", F.get(F.array(*map(F.lit, ("primary", "fallback", "new", "invalid"))), m).alias("origin"), m.cast("long").alias("fallback_subchunks"), F.lit(100).alias("source_characters"), F.lit(98).alias("output_characters"))
-    return jobs.cleaning_report(rows, "user_id").drop("length_ratio")
+    rows = t("events").select("user_id", F.get(F.array(*map(F.lit, ("primary", "fallback", "new", "invalid"))), m).alias("origin"), m.cast("long").alias("fallback_subchunks"), (F.col("event_id") % 700 + 100).alias("source_characters"), (F.col("event_id") % 500 + 150).alias("output_characters"))
+    return jobs.cleaning_report(rows, "user_id")
 
 
 FRAMES = f"{WORDS} * 160"
@@ -518,11 +574,12 @@ def audio_concat_plan(t):
     return audio.concat_plan(rows)
 
 
-@query()
+@query(f"""SELECT job, 1 AS channels, 2 AS sample_width, 24000 AS sample_rate, frames, round_even(frames / 24000, 3)::DOUBLE AS duration_seconds, (44 + 2 * frames)::BIGINT AS file_size_bytes, NULL::VARCHAR AS fault
+FROM (SELECT conv_id AS job, (sum(greatest({WORDS}, 1) * 160) + (count(*) - 1) * 10800)::BIGINT AS frames FROM conversations GROUP BY conv_id)""")
 def audio_joined(t):
     spoken = services.applied(chunks(t), services.tone_speaker, "text", "pcm", "binary").select("job", "chunk_no", audio.pcm_as_wav(F.col("pcm")).alias("content"))
     joined = audio.joined_wav(spoken)
-    return joined.select("job", audio.wav_details(F.col("content")).alias("audio"), audio.wav_fault(F.col("content")).alias("fault"))
+    return joined.select("job", audio.wav_details(F.col("content")).alias("audio"), audio.wav_fault(F.col("content")).alias("fault")).select("job", "audio.*", "fault").drop("audio")
 
 
 @query("SELECT user_id, ts, event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
@@ -536,3 +593,6 @@ def narration(t):
     from folioweave.plans.narrate import narrated
 
     return narrated(t("documents"))
+
+
+from folioweave.plans import flow  # noqa: E402, F401  (registers its queries here)

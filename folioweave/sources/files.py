@@ -90,6 +90,17 @@ def write_once(fresh: DataFrame, path: str, *keys: str) -> None:
     fresh.join(stored.select(*keys), list(keys), "left_anti").write.mode("append").parquet(path)
 
 
+def write_versioned(fresh: DataFrame, path: str, source_hash: str, *keys: str) -> str:
+    """write_once(), or where the folder holds other chunks, the same into a folder named after the source's hash; the folder written."""
+    try:
+        write_once(fresh, path, *keys)
+        return path
+    except ValueError:
+        other = f"{path.rstrip('/')}_{source_hash[:12]}"
+        write_once(fresh, other, *keys)
+        return other
+
+
 def copied_if_absent(legacy: DataFrame, target: DataFrame, name: str = "name") -> DataFrame:
     """Legacy rows whose name the target does not hold."""
     return legacy.join(target.select(name), name, "left_anti")

@@ -7,11 +7,20 @@ and results are written by key, so a retried task never repeats stored work.
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from folioweave.functions.errors import CLASSES, CODES
+
+#: Attempts of each client, and the classes of errors that end its run: nothing after them is asked for.
+ATTEMPTS = {"primary": 6, "fallback": 4, "primary_speech": 6, "fallback_speech": 1}
+ABORTS = {"primary": ("daily_quota",), "fallback": ("daily_quota", "authentication", "model_not_found"), "primary_speech": ("daily_quota", "model_not_found"), "fallback_speech": ()}
+RETRIES = ("rate_limit", "temporary")
 Cleaner = Callable[[list[str]], list[str]]
 Speaker = Callable[[list[str]], list[bytes]]
 
@@ -39,8 +48,62 @@ def applied(df: DataFrame, service: Callable[[list[str]], list], text: str, outp
     return todo.mapInPandas(run, schema)
 
 
+def class_of(message: str) -> str:
+    """The class of an error's message, by the table that the Column expressions use."""
+    low = message.lower()
+    code = re.search(rf"\b({'|'.join(map(str, CODES['any']))})\b", message)
+    return next((name for name, codes, markers in CLASSES if (code and int(code[1]) in codes) or any(m in low for m in markers)), "unknown")
+
+
+def attempted(call: Callable[[str], object], client: str = "primary", spacing: float = 0.0, wait: Callable[[str, int], float] | None = None, sleep: Callable[[float], None] = time.sleep) -> Callable[[list[str]], list[dict]]:
+    """A batch service from one that answers a single text or raises: results with value, error, error_class, attempts.
+
+    An empty answer is an error. Rate limits and temporary errors are tried again, after wait(message, attempt) seconds,
+    up to the client's number of attempts; other errors at once end the text, and those of ABORTS the run: what
+    follows has no attempts.
+    """
+    def one(text: str) -> dict:
+        for attempt in range(1, ATTEMPTS[client] + 1):
+            try:
+                value = call(text)
+                if value is None or not len(value):
+                    raise RuntimeError("empty answer")
+                return {"value": value, "error": None, "error_class": None, "attempts": attempt}
+            except Exception as error:  # a service may raise anything; its message decides
+                message = str(error)
+                kind = class_of(message)
+                if kind not in RETRIES or attempt == ATTEMPTS[client]:
+                    return {"value": None, "error": message, "error_class": kind, "attempts": attempt}
+                sleep(wait(message, attempt) if wait else 0.0)
+        raise AssertionError("unreachable")
+
+    def run(texts: list[str]) -> list[dict]:
+        out: list[dict] = []
+        aborted = False
+        for k, text in enumerate(texts):
+            if aborted:
+                out.append({"value": None, "error": None, "error_class": None, "attempts": 0})
+                continue
+            if k and spacing:
+                sleep(spacing)
+            out.append(one(text))
+            aborted = out[-1]["error_class"] in ABORTS[client]
+        return out
+
+    return run
+
+
+def merged(chunks: DataFrame, merger: Callable[[list[bytes]], bytes] = b"".join, content: str = "content", job: str = "job", no: str = "chunk_no") -> DataFrame:
+    """A file per job from its chunks' files in order, by a pluggable merger; MP3 frames need no more than to follow each other."""
+    parts = chunks.groupBy(job).agg(F.transform(F.array_sort(F.collect_list(F.struct(no, content))), lambda x: x[content]).alias("parts"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({job: batch[job], "content": [merger([bytes(x) for x in p]) for p in batch["parts"]]})
+
+    return parts.mapInPandas(run, f"`{job}` {chunks.schema[job].dataType.simpleString()}, content binary")
+
+
 def listing(models: DataFrame, action: str = "generateContent") -> DataFrame:
     """Names of models that support an action."""
-    from pyspark.sql import functions as F
-
     return models.where(F.array_contains("actions", action)).select("name")

@@ -179,3 +179,86 @@ def test_streams(spark, tmp_path):
     write_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     batch = exploded(docs, speech_chunks(F.col("text")), "doc_id")
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_attempts_retry_end_and_abort():
+    from folioweave.sources import services
+
+    waits, tries = [], {}
+
+    def call(text):
+        tries[text] = tries.get(text, 0) + 1
+        if text == "busy" and tries[text] < 3:
+            raise RuntimeError("503 service unavailable")
+        if text == "down":
+            raise RuntimeError("429 rate limit")
+        if text == "large":
+            raise RuntimeError("413 request too large")
+        if text == "quota":
+            raise RuntimeError("tokens per day exhausted")
+        return "" if text == "none" else text.upper()
+
+    run = services.attempted(call, "fallback", wait=lambda message, attempt: 2.0**attempt, sleep=waits.append)
+    got = run(["a", "busy", "down", "large", "none", "quota", "b"])
+    assert [(r["value"], r["error_class"], r["attempts"]) for r in got] == [("A", None, 1), ("BUSY", None, 3), (None, "rate_limit", 4), (None, "request_too_large", 1), (None, "unknown", 1), (None, "daily_quota", 1), (None, None, 0)]
+    assert waits == [2.0, 4.0, 2.0, 4.0, 8.0]
+    assert tries == {"a": 1, "busy": 3, "down": 4, "large": 1, "none": 1, "quota": 1}
+
+
+def test_model_error_of_speech_is_asked_once():
+    from folioweave.sources import services
+
+    calls = []
+
+    def call(text):
+        calls.append(text)
+        raise RuntimeError("404 model_not_found")
+
+    got = services.attempted(call, "primary_speech")(["a", "b", "c"])
+    assert calls == ["a"] and [r["attempts"] for r in got] == [1, 0, 0]
+
+
+def test_merged_files_follow_the_chunk_order(spark):
+    from folioweave.sources import services
+
+    rows = spark.createDataFrame([("j", n, bytes([n]) * 3) for n in (2, 1, 10)] + [("k", 1, b"x")], "job string, chunk_no int, content binary")
+    assert {r.job: bytes(r.content) for r in services.merged(rows).collect()} == {"j": b"\x01\x01\x01\x02\x02\x02\x0a\x0a\x0a", "k": b"x"}
+    assert {r.job: bytes(r.content) for r in services.merged(rows, lambda parts: b"%d" % len(parts)).collect()} == {"j": b"3", "k": b"1"}
+
+
+def test_versioned_chunks_keep_the_old_folder(spark, tmp_path):
+    from folioweave.sources import files
+
+    rows = lambda t: spark.createDataFrame([(1, t), (2, "same")], "chunk_no int, text string")
+    base = f"{tmp_path}/tts_chunks"
+    assert files.write_versioned(rows("one"), base, "a" * 64, "chunk_no") == base
+    assert files.write_versioned(rows("one"), base, "a" * 64, "chunk_no") == base
+    assert files.write_versioned(rows("two"), base, "b" * 64, "chunk_no") == base + "_" + "b" * 12
+    assert {r.text for r in spark.read.parquet(base).collect()} == {"one", "same"}
+    assert {r.text for r in spark.read.parquet(base + "_" + "b" * 12).collect()} == {"two", "same"}
+
+
+def test_discovery_folders_and_reviews(spark, tmp_path):
+    from folioweave.functions import identity
+    from folioweave.operators import audio, rewrite
+    from folioweave.sources import files, services
+
+    paths = lambda *x: spark.createDataFrame([(p,) for p in x], "path string")
+    assert files.first_file(paths("b.pdf", "a.pdf"), paths("0.pdf")).first().path == "a.pdf"
+    assert files.first_file(paths("z").limit(0), paths("c.pdf")).first().path == "c.pdf" and files.first_file(paths("z").limit(0), paths("z").limit(0)).isEmpty()
+    stored = spark.createDataFrame([("j", "kept"), ("k", "  ")], "job string, text string")
+    fresh = spark.createDataFrame([("j", "new"), ("k", "new"), ("l", "new")], "job string, text string")
+    assert sorted((r.job, r.text) for r in files.layout(stored, fresh).collect()) == [("j", "kept"), ("k", "new"), ("l", "new")]
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
+    assert [r.name for r in files.copied_if_absent(names("a", "b"), names("b")).collect()] == ["a"]
+    one = spark.range(1)
+    assert one.select(files.output_folder(F.lit(8), F.lit(334))).first()[0] == "8-334"
+    assert one.select(audio.is_mp3(F.lit(b"x" * 100)), audio.is_mp3(F.lit(b"x")), audio.is_mp3(F.lit(None).cast("binary"))).first()[:] == (True, False, False)
+    assert one.select(identity.file_hash(F.lit(b"abc"))).first()[0].startswith("ba7816bf")
+    models = spark.createDataFrame([("m1", ["generateContent", "x"]), ("m2", ["embed"])], "name string, actions array<string>")
+    assert [r.name for r in services.listing(models).collect()] == ["m1"]
+    texts = spark.createDataFrame([(1, "a" * 100, "a" * 100), (2, "a" * 100, "b" * 100), (3, "a" * 100, None)], "id int, source string, output string")
+    assert sorted(r.id for r in rewrite.reviews(rewrite.validated(texts)).collect()) == [2, 3]
+    parts = spark.createDataFrame([(1, 2, "b" * 50), (1, 1, "a" * 50)], "id int, sub_no int, text string")
+    parents = spark.createDataFrame([(1, "a" * 50 + "\n\n" + "b" * 50)], "id int, source string")
+    assert rewrite.revalidated(parts, parents, "id").first().validation.valid
