@@ -24,11 +24,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, small, table, text_or_empty, texts_of
-from .textvec import Words, _whole_chunks, finish, segment_hash, window_docs, windows
+from .textvec import HASH_CHARS, Words, _whole_chunks, finish, long_words, segment_hash, window_docs, windows
 
 SAMPLE = 20_000
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -61,38 +62,70 @@ def repeated(docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return count[codes] > 1, first[codes] != np.arange(len(codes))
 
 
+def covered_words(again: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Which of n words lie in a window that begins at one of the positions `again`."""
+    mark = np.zeros(n + 1, np.int64)
+    np.add.at(mark, again, 1)
+    np.add.at(mark, again + width, -1)
+    return np.cumsum(mark)[:-1] > 0
+
+
+def measured(n, chars, symbols, dup_lines, repeats, lines, worded_lines, distinct, letters, *kinds) -> tuple[np.ndarray, np.ndarray]:
+    """BASE counts and FEATURES from counts of each text; kinds: bytes that are upper case, digits, marks, bangs, others."""
+    one, some = np.maximum(n, 1), np.maximum(letters, 1)
+    upper, digit, mark, bang, other = (k / some for k in kinds)
+    rates = [np.log1p(n), chars / one, symbols / one, dup_lines / np.maximum(lines, 1), repeats / one, upper, digit, mark, bang, n / np.maximum(worded_lines, 1), distinct / one, other]
+    return np.stack([n, chars, symbols, dup_lines, repeats], 1).astype(np.int64), np.stack(rates, 1).astype(float)
+
+
+def counted(w: Words) -> list[np.ndarray]:
+    """Of each text: words, code points in them, symbols, bytes in them, bytes of each kind."""
+    of = lambda flags: w.per_doc(flags[w.data])
+    return [w.counts, w.per_doc(w.inside & _LEAD[w.data]), of(_SYMBOL), w.per_doc(w.inside), of(_UPPER), of(_DIGIT), of(_MARK), of(_BANG), of(~_PLAIN)]
+
+
+def long_statistics(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """statistics() of a text over one chunk, from its segments' words and, line by line, its lines."""
+    sums, hashes = 0, []
+    for w in long_words(text):
+        sums = sums + np.array([x[0] for x in counted(w)], np.int64)
+        hashes.append(w.hashes())
+    n, chars, symbols, letters, *kinds = (sums[k : k + 1] for k in range(len(sums)))
+    h = np.concatenate(hashes)
+    doc = np.zeros(len(h), np.int64)
+    again = np.flatnonzero(repeated(doc[: max(len(h) - 7, 0)], windows(h, 8))[0])
+    seen, lines, worded, dup = set(), 0, 0, 0
+    for body in text.split("\n"):
+        key, has_word = xxhash.xxh128_digest(body.encode("utf-8", "surrogatepass")), bool(body.strip(" \t\n\x0b\x0c\r"))
+        lines, worded, dup = lines + 1, worded + has_word, dup + (has_word and key in seen)
+        seen.add(key)
+    one = lambda x: np.array([x], np.int64)
+    return measured(n, chars, symbols, one(dup), one(covered_words(again, 8, len(h)).sum()), one(lines), one(worded), one(len(np.unique(h))), letters, *kinds)
+
+
 def statistics(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Of each text the BASE counts (int64) and the FEATURES (float64)."""
     base, more = [np.zeros((0, len(BASE)), np.int64)], [np.zeros((0, len(FEATURES)))]
     for _, parts in _whole_chunks(texts):
+        if len(parts[0]) > HASH_CHARS:
+            counts, rates = long_statistics(parts[0])
+            base.append(counts)
+            more.append(rates)
+            continue
         w = Words(parts)
-        n = w.counts
-        chars = w.per_doc(w.inside & _LEAD[w.data])
-        symbols = w.per_doc(_SYMBOL[w.data])
+        n, chars, symbols, letters, *kinds = counted(w)
         starts, ends = w.lines()
         doc = np.searchsorted(w.begin, starts, "right") - 1
         worded = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)
         _, again = repeated(doc, segment_hash(w.prefix, starts, ends))
-        dup_lines = np.bincount(doc[again & worded], minlength=len(parts))
+        of = lambda docs: np.bincount(docs, minlength=len(parts))  # noqa: B023, E731
         hashes = w.hashes()
         at = window_docs(w, 8)
-        mark = np.zeros(len(hashes) + 1, np.int64)
-        if len(at):
-            twice, _ = repeated(w.doc[at], windows(hashes, 8)[at])
-            np.add.at(mark, at[twice], 1)
-            np.add.at(mark, at[twice] + 8, -1)
-        covered = np.cumsum(mark)[:-1] > 0
-        repeats = np.bincount(w.doc[covered], minlength=len(parts)) if len(hashes) else np.zeros(len(parts), np.int64)
-        distinct = len(hashes) and np.bincount(w.doc[~repeated(w.doc, hashes)[1]], minlength=len(parts))
-        counts = np.stack([n, chars, symbols, dup_lines, repeats], 1).astype(np.int64)
-        one = np.maximum(n, 1)
-        letters = np.maximum(w.per_doc(w.inside), 1)
-        lines = np.bincount(doc, minlength=len(parts))
-        worded_lines = np.maximum(np.bincount(doc[worded], minlength=len(parts)), 1)
-        of = lambda flags: w.per_doc(flags[w.data]) / letters
-        rates = [np.log1p(n), chars / one, symbols / one, dup_lines / np.maximum(lines, 1), repeats / one, of(_UPPER), of(_DIGIT), of(_MARK), of(_BANG), n / worded_lines, distinct / one, of(~_PLAIN)]
+        twice = at[repeated(w.doc[at], windows(hashes, 8)[at])[0]] if len(at) else at
+        distinct = of(w.doc[~repeated(w.doc, hashes)[1]]) if len(hashes) else of(w.doc)
+        counts, rates = measured(n, chars, symbols, of(doc[again & worded]), of(w.doc[covered_words(twice, 8, len(hashes))]), of(doc), of(doc[worded]), distinct, letters, *kinds)
         base.append(counts)
-        more.append(np.stack(rates, 1).astype(float))
+        more.append(rates)
     return np.concatenate(base), np.concatenate(more)
 
 

@@ -338,6 +338,22 @@ def window_docs(words: Words, width: int) -> np.ndarray:
     return np.flatnonzero(words.doc[:n] == words.doc[width - 1 :])
 
 
+#: Where a text can be cut without cutting a word.
+WORD_END = r"(?<=[^ \t-\r])(?=[ \t-\r])"
+
+
+def long_words(text: str, lower: bool = False):
+    """Words of a text over one chunk, segment by segment, so that a character's arrays never cover the whole text."""
+    for _, parts in chunked([text], HASH_CHARS, WORD_END):
+        for part in parts:
+            yield Words([part], lower)
+
+
+def _long_set(text: str, width: int) -> np.ndarray:
+    h = np.concatenate([w.hashes() for w in long_words(text, lower=True)])
+    return np.unique(windows(h, min(width, len(h)))) if len(h) else np.zeros(0, np.uint64)
+
+
 def shingle_sets(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Distinct lower-cased word shingles of each text: (hashes sorted within texts, offsets).
 
@@ -345,6 +361,9 @@ def shingle_sets(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarr
     """
     sets: list[list[np.ndarray]] = [[] for _ in texts]
     for numbers, parts in ((range(k, k + len(p)), p) for k, p in _whole_chunks(texts)):
+        if len(parts[0]) > HASH_CHARS:
+            sets[numbers[0]] = _long_set(parts[0], width)
+            continue
         w = Words(parts, lower=True)
         h = w.hashes()
         at = window_docs(w, width)
@@ -368,7 +387,7 @@ def shingle_sets(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarr
 
 
 def _whole_chunks(texts: list[str], size: int = HASH_CHARS):
-    """Runs of whole texts of about `size` characters: (number of the first, texts)."""
+    """Runs of whole texts of at most `size` characters, a longer text by itself: (number of the first, texts)."""
     at, held = 0, 0
     for i, text in enumerate(texts):
         if i > at and held + len(text) > size:
