@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
@@ -57,11 +58,11 @@ def test_odd_documents(spark, tmp_path):
     check(op1_packing(spark, write_docs(spark, tmp_path)).collect(), by_id(ODD))
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
 def test_whole_table(spark):
     folder = "/root/testdata/sf0.001"
-    if os.path.isdir(folder):
-        rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
-        check(op1_packing(spark, folder).collect(), by_id(rows))
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    check(op1_packing(spark, folder).collect(), by_id(rows))
 
 
 def test_small_blocks_and_ids(spark):
@@ -88,3 +89,8 @@ def test_balance_and_capacity():
             in_order[at // 1024] += take + take * take / 1024
             at, n = at + take, n - take
     assert np.std(full) < np.std(in_order[: len(full)])
+
+
+def test_a_text_over_one_chunk(spark, tmp_path):
+    rows = [(1, "Überall stand ein Wort-Ungetüm 12345 und noch eins. " * 25_000), (2, "kurz")]
+    check(op1_packing(spark, write_docs(spark, tmp_path, rows)).collect(), by_id(rows))

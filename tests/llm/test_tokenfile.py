@@ -2,6 +2,7 @@ import os
 import zlib
 
 import numpy as np
+import pytest
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
@@ -29,11 +30,11 @@ def test_odd_documents(spark, tmp_path):
     assert got(op6_token_orc(spark, write_docs(spark, tmp_path))) == expected(ODD)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
 def test_whole_table(spark):
     folder = "/root/testdata/sf0.001"
-    if os.path.isdir(folder):
-        rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
-        assert got(op6_token_orc(spark, folder)) == expected(rows)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    assert got(op6_token_orc(spark, folder)) == expected(rows)
 
 
 def test_empty_table(spark, tmp_path):
@@ -50,3 +51,14 @@ def test_pruned_read(spark, tmp_path):
 
     part = next(f for f in os.listdir(path) if f.endswith(".orc"))
     assert orc.ORCFile(f"{path}/{part}").nstripes >= 1
+
+
+def test_a_text_over_one_chunk_and_rows_of_one_doc_id(spark, tmp_path):
+    rows = [(1, "Überall stand ein Wort-Ungetüm 12345 und noch eins. " * 25_000)] + [(5, "the same row")] * 300 + [(None, "none")] * 40 + [(9, "last")]
+    assert got(op6_token_orc(spark, write_docs(spark, tmp_path, rows))) == expected(rows)
+
+
+def test_rows_of_one_doc_id_are_split_over_files(spark, tmp_path):
+    write_tokens(docs(spark, [(5, "the same row")] * 400).repartition(4), f"{tmp_path}/t", P.path("word_bpe_49k.json"), partitions=8)
+    sizes = [r["count"] for r in spark.read.orc(f"{tmp_path}/t").groupBy("part").count().collect()]
+    assert sum(sizes) == 400 and max(sizes) < 200
