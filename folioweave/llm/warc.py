@@ -109,14 +109,18 @@ def parse(data: bytes, piece: int = 1 << 20) -> Iterator[tuple[dict[str, str], b
             buffer.extend(inflate.decompress(rest))
         return True
 
+    def skip_blank_lines() -> None:
+        n = 0
+        while n < len(buffer) and buffer[n] in b"\r\n":
+            n += 1
+        del buffer[:n]
+
     while True:
-        while buffer[:1] in (b"\r", b"\n"):
-            del buffer[: len(buffer) - len(buffer.lstrip(b"\r\n"))]
+        skip_blank_lines()
         while (end := buffer.find(b"\r\n\r\n")) < 0:
             if not more():
                 return
-            while buffer[:1] in (b"\r", b"\n"):
-                del buffer[: len(buffer) - len(buffer.lstrip(b"\r\n"))]
+            skip_blank_lines()
         lines = buffer[:end].decode("utf-8", "replace").split("\r\n")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         size = int(headers.get("content-length", 0))
