@@ -3,11 +3,11 @@
 Bounded blocks of documents are pre-tokenised in the scan's tasks into distinct
 pieces and positions (vectorised, no shuffle). A piece that is a token itself is
 its id. Every other distinct piece of a block reaches the JVM as the array of its
-bytes' tokens, and aggregate() folds ranked merges over it: the state is the
-tokens and, for each pair of neighbours, the token that merging them gives. Ids
-are ranks, so the least of these is the merge to make, at its leftmost place; only
-the two new pairs are looked up. The rank map is one constant, an array of hash
-buckets, since a lookup in Spark's own maps is linear. A
+bytes' tokens, and aggregate() folds ranked merges over it: an element of the state is
+one number, of the token that merging with the next one gives, the place in the
+piece and the token itself. Ids are ranks, so the least element is the merge to make,
+at its leftmost place; only the two new pairs are looked up. The rank map is one
+constant, an array that is a perfect hash, since a lookup in Spark's own maps is linear. A
 documents' ids are its pieces' ids in order; decoding concatenates the binary
 pieces of the ids.
 
@@ -44,10 +44,16 @@ from pyspark.sql import functions as F
 from .common import map_batches, small, table, text_or_empty, texts_of, vocabulary
 from .textvec import chunked, numbered_pieces
 
-BUCKETS = 65_521
-MIX = 40_503
+#: Of the rank map. Coprime, and their product is above all pairs: two pairs never agree in both remainders.
+GROUPS = 49_999
+SLOTS = 200_003
+#: No token: what stands after the last one of a piece.
+END = (1 << 16) - 1
 #: Above all ids: two tokens that do not merge.
-NONE = 1 << 30
+NONE = 1 << 16
+#: Bits of a place in a piece.
+PLACE_BITS = 9
+#: Bytes of a piece that is folded, at most; below 2 ** PLACE_BITS.
 MAX_FOLD = 400
 BLOCK_CHARS = 8_000_000
 CHUNK = 500_000
@@ -62,8 +68,8 @@ OUT_TOKENS = 250_000
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    if max(ranks.values()) >= 1 << 16:
-        raise ValueError("a vocabulary of more than 65,536 ids does not fit the keys of the rank map")
+    if max(ranks.values()) >= END:
+        raise ValueError("a vocabulary of more than 65,535 ids does not fit the keys of the rank map")
     return ranks
 
 
@@ -74,21 +80,49 @@ def single_ids(path: str) -> np.ndarray:
     return np.array([ranks[bytes([b])] for b in range(256)], np.int64)
 
 
-def merge_buckets(path: str) -> list[list[int]]:
-    """The rank map: buckets of numbers that hold two tokens and, in their last 16 bits, what these merge into."""
+@lru_cache(None)
+def byte_pairs(path: str) -> np.ndarray:
+    """What bytes a and b merge into, or NONE."""
+    ranks = read_ranks(path)
+    return np.array([[ranks.get(bytes([a, b]), NONE) for b in range(256)] for a in range(256)], np.int64)
+
+
+@lru_cache(None)
+def merge_table(path: str) -> np.ndarray:
+    """The rank map: a perfect hash of pairs, whose key is a * 65536 + b.
+
+    The first GROUPS numbers say where a group's slots begin, by the key modulo
+    GROUPS; the pair's slot is that plus the key modulo SLOTS. A slot holds key and,
+    in its last 16 bits, what the pair merges into.
+    """
     ranks = read_ranks(path)
-    out: list[list[int]] = [[] for _ in range(BUCKETS)]
+    groups: dict[int, list[tuple[int, int]]] = {}
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
             if a is not None and b is not None:
-                out[(a * MIX + b) % BUCKETS].append(((a << 16) + b << 16) + rank)
+                key = (a << 16) + b
+                groups.setdefault(key % GROUPS, []).append((key, rank))
+    begins = [GROUPS] * GROUPS
+    slots: dict[int, int] = {}
+    for group, found in sorted(groups.items(), key=lambda x: (-len(x[1]), x[0])):
+        at = [key % SLOTS for key, _ in found]
+        shift = GROUPS
+        while any(x + shift in slots for x in at):
+            shift += 1
+        begins[group] = shift
+        slots.update((x + shift, (key << 16) + rank) for x, (key, rank) in zip(at, found, strict=True))
+    # The highest bit is in no key, so an empty slot matches none.
+    out = np.full(max(begins) + SLOTS, 1 << 48, np.int64)
+    out[:GROUPS] = begins
+    out[np.fromiter(slots, np.int64, len(slots))] = np.fromiter(slots.values(), np.int64, len(slots))
     return out
 
 
 def rank_map(spark: SparkSession, path: str) -> Column:
-    """The rank map as a constant of the query (array<array<bigint>>)."""
-    return spark.createDataFrame(pa.table({"pairs": pa.array([merge_buckets(path)], pa.list_(pa.list_(pa.int64())))})).scalar()
+    """The rank map as a constant of the query (array<bigint>)."""
+    numbers = pa.array(merge_table(path))
+    return spark.createDataFrame(pa.table({"pairs": pa.ListArray.from_arrays(pa.array([0, len(numbers)], pa.int32()), numbers)})).scalar()
 
 
 def _expand(sql: str) -> str:
@@ -110,20 +144,22 @@ def _expand(sql: str) -> str:
 
 
 def fold_sql(pairs: str = "__pairs") -> str:
-    """SQL from the tokens `w` of a piece's bytes (array<bigint>, two at least) to its ids.
+    """SQL from the start `w` of a piece's state (array<bigint>, two elements at least) to its ids.
 
     SQL text, since lists of arguments that Spark's parser makes are strict, and
-    those of Column functions lazy, which doubles the time of each step.
+    those of Column functions lazy, which doubles the time of each step. slice()
+    and concat() cost two to five times a transform() of these short arrays.
     """
-    none = f"CAST({NONE} AS BIGINT)"
-    merge = lambda a, b: f"coalesce(get(filter(get({pairs}, CAST(({a} * {MIX} + {b}) % {BUCKETS} AS INT)), e -> shiftright(e, 16) = {a} * 65536 + {b}), 0) % 65536, {none})"
-    # i: the place of the merge, from 1; x at k, from 0. What a lambda's body names is cheap, so only i is worth a let1().
-    tokens = "filter(transform(s.t, (x, k) -> if(k = i - 1, get(s.r, i - 1), x)), (x, k) -> k <> i)"
-    left, right = merge("get(s.t, i - 2)", "get(s.r, i - 1)"), merge("get(s.r, i - 1)", "get(s.t, i + 1)")
-    merges = f"filter(transform(s.r, (x, k) -> CASE WHEN k = i - 2 THEN {left} WHEN k = i THEN {right} ELSE x END), (x, k) -> k <> i - 1)"
-    step = f"if(array_min(s.r) < {none}, let1(CAST(array_position(s.r, array_min(s.r)) AS INT), i -> named_struct('t', {tokens}, 'r', {merges})), s)"
-    start = f"named_struct('t', w, 'r', transform(sequence(0, size(w) - 2), j -> {merge('get(w, j)', 'get(w, j + 1)')}))"
-    return _expand(f"aggregate(sequence(2, size(w)), {start}, (s, z) -> {step}, s -> s.t)")
+    low, id_, place = (1 << 16 + PLACE_BITS) - 1, END, ((1 << PLACE_BITS) - 1) << 16
+    # Of a key of two tokens, what they merge into, above place and token: a slot of another key differs in bits above an id's.
+    rank = lambda key: f"shiftleft(least(get({pairs}, get({pairs}, {key} % {GROUPS}L) + {key} % {SLOTS}L) ^ shiftleft({key}, 16), {NONE}L), {16 + PLACE_BITS})"
+    # i: the place of the element before the merge, from 0; x at k. The merge's own is x at i + 1, and the one at i + 2 goes.
+    merged = f"shiftright(get(s, i + 1), {16 + PLACE_BITS})"
+    before = f"let1(shiftleft(x & {id_}L, 16) | {merged}, key -> {rank('key')} | (x & {low}L))"
+    own = f"let1(shiftleft({merged}, 16) | coalesce(get(s, i + 3) & {id_}L, {END}L), key -> {rank('key')} | (x & {place}L) | shiftright(key, 16))"
+    elements = f"array_remove(transform(s, (x, k) -> if(k < i, x, if(k > i + 1, x, if(k = i, {before}, {own})))), get(s, i + 2))"
+    step = f"if(array_min(s) < {NONE << 16 + PLACE_BITS}L, let1(CAST(array_position(s, array_min(s)) AS INT) - 2, i -> {elements}), s)"
+    return _expand(f"aggregate(sequence(2, size(w)), w, (s, z) -> {step}, s -> transform(s, x -> x & {id_}L))")
 
 
 def heap_fold(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -154,9 +190,16 @@ def heap_fold(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def byte_tokens(words: list[bytes], path: str) -> pa.ListArray:
-    """Of each word the tokens of its bytes."""
-    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
-    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(single_ids(path)[np.frombuffer(b"".join(words), np.uint8)]))
+    """Of each word the state before the first merge: of each byte the token, its place and what it and the next byte merge into."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    at = np.concatenate([[0], np.cumsum(size)])
+    data = np.frombuffer(b"".join(words), np.uint8)
+    merged = np.full(len(data), NONE, np.int64)
+    merged[:-1] = byte_pairs(path)[data[:-1], data[1:]]
+    merged[at[1:] - 1] = NONE
+    place = np.arange(len(data)) - np.repeat(at[:-1], size)
+    state = (merged << 16 + PLACE_BITS) | (place << 16) | single_ids(path)[data]
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(state))
 
 
 def can_be_hot(coded: bytes) -> bool:

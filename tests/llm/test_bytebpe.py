@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers as P
 import tiktoken
 
-from folioweave.llm.bytebpe import MAX_FOLD, decode_documents, encode_documents, heap_fold, op3_byte_bpe, read_ranks
+from folioweave.llm.bytebpe import END, GROUPS, MAX_FOLD, NONE, SLOTS, byte_tokens, decode_documents, encode_documents, heap_fold, merge_table, op3_byte_bpe, read_ranks
 
 from .helpers import ODD, docs, write_docs
 
@@ -41,6 +41,34 @@ def test_heap_makes_the_merges_of_the_library():
             assert heap_fold(piece, ranks) == enc._encode_single_piece(piece)
 
 
+def test_a_pair_is_found_in_one_slot():
+    ranks, found = read_ranks(PATH), merge_table(PATH)
+    pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+    rng, size = np.random.default_rng(6), max(ranks.values()) + 1
+    other = np.concatenate([rng.integers(0, size, (100_000, 2)), np.stack([np.arange(size), np.full(size, END)], 1)])
+    tried = np.concatenate([np.array(list(pairs), np.int64), other])
+    key = (tried[:, 0] << 16) + tried[:, 1]
+    got = np.minimum(found[found[key % GROUPS] + key % SLOTS] ^ (key << 16), NONE)
+    assert got.tolist() == [pairs.get((a, b), NONE) for a, b in tried.tolist()]
+
+
+def test_state_before_the_first_merge():
+    ranks = read_ranks(PATH)
+    state = byte_tokens([b"the", b"\x00\xff"], PATH).to_pylist()
+    merged = [[ranks.get(b"th", NONE), ranks.get(b"he", NONE), NONE], [ranks.get(b"\x00\xff", NONE), NONE]]
+    assert [[x >> 25 for x in w] for w in state] == merged
+    assert [[x >> 16 & 511 for x in w] for w in state] == [[0, 1, 2], [0, 1]]
+    assert [[x & END for x in w] for w in state] == [[ranks[bytes([b])] for b in w] for w in (b"the", b"\x00\xff")]
+    assert byte_tokens([], PATH).to_pylist() == []
+
+
+def test_fold_up_to_its_longest_piece(spark):
+    rng = np.random.default_rng(7)
+    rows = [(n * 10 + k, "".join(rng.choice(list(letters), n))) for n in (2, 3, 17, 130, MAX_FOLD - 1, MAX_FOLD) for k, letters in enumerate(("a", "ab", "etaoinshrdlu", "zqxj"))]
+    want = {i: library().encode_ordinary(t) for i, t in rows}
+    assert {r.doc_id: r.ids for r in encode_documents(docs(spark, rows), PATH).collect()} == want
+
+
 def test_fold_of_a_long_piece_takes_linearithmic_time():
     assert len(heap_fold(b"x" * 1_000_000, read_ranks(PATH))) < 1_000_000
 
