@@ -14,6 +14,7 @@ from folioweave.plans import catalogue
 FOLDER = "/root/testdata/sf0.001"
 ONE_PASS = [
     "narration",
+    "tts_manifest",
 ]
 
 
@@ -52,3 +53,10 @@ def test_long_runs_of_marks_and_blanks():
     assert plain.normalised("a" + " \t" * 100_000 + "\n" * 100_000 + "b") == "a\n\nb"
     assert plain.finally_clean("a" + " \t" * 100_000 + "b") == "a b"
     assert plain.precleaned("=" * 100_000 + "-" * 100_000, (), "") == "-" * 100_000
+
+
+def test_counts_are_those_of_the_chunks(spark):
+    df = spark.createDataFrame([("Bir cümle. " * 70 + "\n\nİki üç, " * 90,), ("",), (None,)], "x string")
+    rows = df.select(segment.speech_chunks(F.col("x"), 300, 120).alias("t"), segment.speech_counts(F.col("x"), 300, 120).alias("c")).collect()
+    assert [[(len(t), len(t.split())) for t in r.t] if r.t is not None else None for r in rows] == [[tuple(c) for c in r.c] if r.c is not None else None for r in rows]
+    assert len(rows[0].c) > 3 and rows[1].c == [] and rows[2].c is None
