@@ -15,6 +15,7 @@ FOLDER = "/root/testdata/sf0.001"
 ONE_PASS = [
     "narration",
     "tts_manifest",
+    "long_sentence_parts",
 ]
 
 
@@ -60,3 +61,8 @@ def test_counts_are_those_of_the_chunks(spark):
     rows = df.select(segment.speech_chunks(F.col("x"), 300, 120).alias("t"), segment.speech_counts(F.col("x"), 300, 120).alias("c")).collect()
     assert [[(len(t), len(t.split())) for t in r.t] if r.t is not None else None for r in rows] == [[tuple(c) for c in r.c] if r.c is not None else None for r in rows]
     assert len(rows[0].c) > 3 and rows[1].c == [] and rows[2].c is None
+
+
+def test_parts_end_a_paragraph_once(spark):
+    got = spark.createDataFrame([("Bir iki, üç dört; beş altı yedi. Son\n\n" + "y" * 30 + " z",)], "x string").select(segment.speech_records(F.col("x"), 20)).first()[0]
+    assert [tuple(r) for r in got] == [("Bir iki, üç dört;", False), ("beş altı yedi.", False), ("Son", True), ("y" * 30, False), ("z", True)]
