@@ -16,6 +16,7 @@ ONE_PASS = [
     "narration",
     "tts_manifest",
     "long_sentence_parts",
+    "two_level_chunks",
 ]
 
 
