@@ -17,6 +17,7 @@ ONE_PASS = [
     "tts_manifest",
     "long_sentence_parts",
     "two_level_chunks",
+    "coverage_check",
 ]
 
 
@@ -67,3 +68,8 @@ def test_counts_are_those_of_the_chunks(spark):
 def test_parts_end_a_paragraph_once(spark):
     got = spark.createDataFrame([("Bir iki, üç dört; beş altı yedi. Son\n\n" + "y" * 30 + " z",)], "x string").select(segment.speech_records(F.col("x"), 20)).first()[0]
     assert [tuple(r) for r in got] == [("Bir iki, üç dört;", False), ("beş altı yedi.", False), ("Son", True), ("y" * 30, False), ("z", True)]
+
+
+def test_coverage_of_odd_texts(spark):
+    rows = spark.createDataFrame([("Bir.\u2003İki\n\nüç",), ("so\xadft",), (" \n",), (None,)], "x string").select("x", F.explode(segment.speech_covered(F.col("x"))).alias("y"))
+    assert [(r.x, r.y) for r in rows.collect()] == [("Bir.\u2003İki\n\nüç", True), ("so\xadft", False)]
