@@ -18,6 +18,7 @@ ONE_PASS = [
     "long_sentence_parts",
     "two_level_chunks",
     "coverage_check",
+    "preclean",
 ]
 
 
