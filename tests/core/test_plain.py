@@ -19,6 +19,7 @@ ONE_PASS = [
     "two_level_chunks",
     "coverage_check",
     "preclean",
+    "llm_chunks_cut_words",
 ]
 
 
