@@ -20,6 +20,7 @@ ONE_PASS = [
     "coverage_check",
     "preclean",
     "llm_chunks_cut_words",
+    "chunk_warnings",
 ]
 
 
