@@ -21,6 +21,7 @@ ONE_PASS = [
     "preclean",
     "llm_chunks_cut_words",
     "chunk_warnings",
+    "manifest_totals",
 ]
 
 
