@@ -22,6 +22,7 @@ ONE_PASS = [
     "llm_chunks_cut_words",
     "chunk_warnings",
     "manifest_totals",
+    "tts_chunks_small",
 ]
 
 
