@@ -23,6 +23,7 @@ ONE_PASS = [
     "chunk_warnings",
     "manifest_totals",
     "tts_chunks_small",
+    "tts_chunks",
 ]
 
 
