@@ -24,6 +24,7 @@ ONE_PASS = [
     "manifest_totals",
     "tts_chunks_small",
     "tts_chunks",
+    "preclean_pages",
 ]
 
 
