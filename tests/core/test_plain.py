@@ -25,6 +25,7 @@ ONE_PASS = [
     "tts_chunks_small",
     "tts_chunks",
     "preclean_pages",
+    "llm_chunks_2200",
 ]
 
 
