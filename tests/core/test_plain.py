@@ -26,6 +26,7 @@ ONE_PASS = [
     "tts_chunks",
     "preclean_pages",
     "llm_chunks_2200",
+    "quality_gate",
 ]
 
 
@@ -81,3 +82,28 @@ def test_parts_end_a_paragraph_once(spark):
 def test_coverage_of_odd_texts(spark):
     rows = spark.createDataFrame([("Bir.\u2003İki\n\nüç",), ("so\xadft",), (" \n",), (None,)], "x string").select("x", F.explode(segment.speech_covered(F.col("x"))).alias("y"))
     assert [(r.x, r.y) for r in rows.collect()] == [("Bir.\u2003İki\n\nüç", True), ("so\xadft", False)]
+
+
+def test_ratio_is_that_of_difflib():
+    rng = random.Random(5)
+
+    def changed(t):
+        t = list(t)
+        for _ in range(rng.randint(0, 15)):
+            p, z = rng.randrange(len(t) + 1), rng.randrange(len(t) + 1)
+            t[p : p + rng.randint(0, 20)] = rng.choice((t[z : z + rng.randint(0, 40)], ["x"], []))
+        return "".join(t)
+
+    for alphabet in ("ab", "abc ", "etaoinshrdlu ", "etaoinshrdlucmfwypvbgkqjxz ABCDEFGH.,\n", "şığüöç aeio\U0001F600中文"):
+        for size in (0, 1, 7, 60, 199, 200, 201, 450, 1300):
+            for _ in range(4):
+                a = "".join(rng.choices(alphabet, [1 / (i + 1) for i in range(len(alphabet))], k=size))
+                for b in (changed(a), a.translate(str.maketrans("aeio", "AEIO")), a.replace("e", ""), "".join(rng.choices(alphabet, k=rng.randint(0, 300)))):
+                    assert rewrite.ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def test_explanations_and_thoughts_of_odd_answers(spark):
+    given = ["\u2003\n Açıklama: x", "Analiz", "Düzeltilmiş  metin", " DÜZELTİLMİŞ METİN", "a <THINK>", "", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x string")
+    got = {r.i: (r.a, r.b) for r in rows.select("i", rewrite.explains(F.col("x")).alias("a"), rewrite.thinks(F.col("x")).alias("b")).collect()}
+    assert [got[i] for i in range(7)] == [(True, False), (False, False), (False, False), (False, False), (False, True), (False, False), (None, None)]
